@@ -1,0 +1,5 @@
+"""Empty on purpose: every supported computation is one batch pass.
+
+The tools this engine stands in for have no streams, watermarks or state, so
+there is nothing to rebuild here.
+"""
