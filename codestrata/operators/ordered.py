@@ -20,7 +20,7 @@ def slices(df: DataFrame, order: Sequence[Column | str], name: str = "slice", co
     """Range-partition by ``order`` and keep the partition number as a column.
 
     ``order`` must end in something unique, so that no value is too common to
-    be cut. The checkpoint fixes the numbers for every later read.
+    be cut. Writing the result fixes the numbers for every later read.
     """
     width = count or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cut_lineage(df.repartitionByRange(width, *order).withColumn(name, F.spark_partition_id()))

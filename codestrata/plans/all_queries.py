@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from codestrata.plans import catalogue  # noqa: F401
+from codestrata.plans import catalogue, corpus  # noqa: F401

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,25 +22,35 @@ def local_session(app: str = "codestrata", cores: int | str = "*", shuffle_parti
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+    """Write ``df`` once to the shared folder and read it back.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a folder of its own.
+    local session without that setting gets a folder of its own. A written
+    table is computed once, survives lost executors and carries its size, so
+    later joins are planned on real numbers.
     """
-    spark = df.sparkSession
+    path = f"{_scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _scratch(spark: SparkSession) -> str:
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named:
-            context.setCheckpointDir(named)
-        elif context.master.startswith("local"):
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="codestrata-checkpoint-"))
-        else:
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return df.checkpoint(eager=True)
+        named = _local_folder()
+    return f"{named.rstrip('/')}/codestrata-{context.applicationId}"
+
+
+@functools.cache
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="codestrata-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
