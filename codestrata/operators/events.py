@@ -169,23 +169,17 @@ def merge_layer_violations(violations: DataFrame, broken: DataFrame) -> DataFram
     return strong.unionByName(only_sdp).unionByName(only_slp)
 
 
-def overloaded(classes: DataFrame, functions: DataFrame, bound: DataFrame, limit: int = LCOM4_LIMIT) -> DataFrame:
-    """Low-cohesion classes with a complex method; the first largest method is the witness."""
-    order = F.struct("cc", -F.col("lineno"), "function_id")
-    methods = functions.select("function_id", "cc", "name", "lineno").join(bound, "function_id")
-    stats = methods.groupBy("class_id").agg(
-        F.max_by(F.struct("cc", "name", "lineno"), order).alias("top"),
-        F.count_if(F.col("cc") > CC_LIMIT).alias("high"),
-    ).where(F.col("high") > 0)
-    found = low_cohesion(classes, limit).join(stats, "class_id")
+def overloaded(classes: DataFrame, limit: int = LCOM4_LIMIT) -> DataFrame:
+    """Low-cohesion classes with a complex method; ``classes`` carry their method statistics."""
+    found = low_cohesion(classes, limit).where(F.col("high_cc_methods") > 0)
     return _event(
-        found, "OVERLOADED_CLASS", ["filepath", "class_name"], _error_if((F.col("lcom4") >= 3) & (F.col("top.cc") > CC_ERROR)), "strong",
-        {"filepath": "filepath", "lineno": "lineno", "class_name": "class_name"}, {"lcom4": "lcom4", "cc": "top.cc"},
+        found, "OVERLOADED_CLASS", ["filepath", "class_name"], _error_if((F.col("lcom4") >= 3) & (F.col("max_method_cc") > CC_ERROR)), "strong",
+        {"filepath": "filepath", "lineno": "lineno", "class_name": "class_name"}, {"lcom4": "lcom4", "cc": "max_method_cc"},
         F.array(
             _cohesion_evidence(),
             evidence(
-                "radon", max_cc_method_name="top.name", max_complexity="top.cc", max_cc_method_lineno="top.lineno",
-                mean_cc_in_class="mean_method_cc", high_cc_methods_count="high",
+                "radon", max_cc_method_name="top_method.name", max_complexity="max_method_cc", max_cc_method_lineno="top_method.lineno",
+                mean_cc_in_class="mean_method_cc", high_cc_methods_count="high_cc_methods",
             ),
         ),
     )

@@ -127,19 +127,27 @@ def cross_functions(functions: DataFrame, bound: DataFrame, classes: DataFrame,
     )
 
 
-def cross_classes(classes: DataFrame, functions: DataFrame, bound: DataFrame, files: DataFrame) -> DataFrame:
-    """Classes with their file's MI and the largest and mean CC of their methods."""
-    per_class = (
-        functions.select("function_id", "cc")
+def method_stats(functions: DataFrame, bound: DataFrame) -> DataFrame:
+    """Per class, in one grouping: largest and mean CC, the methods over the limit and the first largest one."""
+    order = F.struct("cc", -F.col("lineno"), "function_id")
+    return (
+        functions.select("function_id", "cc", "name", "lineno")
         .join(bound, "function_id")
         .groupBy("class_id")
-        .agg(F.max("cc").alias("max_method_cc"), mean_of(F.sum("cc"), F.count("cc")).alias("mean_method_cc"))
-    )
-    return classes.join(files.select("filepath", F.col("mi").alias("file_mi")), "filepath", "left").join(
-        per_class, "class_id", "left"
+        .agg(
+            F.max("cc").alias("max_method_cc"),
+            mean_of(F.sum("cc"), F.count("cc")).alias("mean_method_cc"),
+            F.count_if(F.col("cc") > CC_LIMIT).alias("high_cc_methods"),
+            F.max_by(F.struct("name", "lineno"), order).alias("top_method"),
+        )
     )
 
 
+def cross_classes(classes: DataFrame, stats: DataFrame, files: DataFrame) -> DataFrame:
+    """Classes with their file's MI and the statistics of their methods."""
+    return classes.join(files.select("filepath", F.col("mi").alias("file_mi")), "filepath", "left").join(stats, "class_id", "left")
+
+
 def place_dead(dead: DataFrame, classes: DataFrame) -> DataFrame:
     """Add ``filepath`` and ``module`` to dead entries.
 

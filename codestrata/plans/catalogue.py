@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from codestrata.config import config_table
 from codestrata.functions.names import is_excluded_path, is_ignored_module, path_to_module
 from codestrata.operators import callgraph, cohesion, contracts, events, graph, layers, relations, summaries
-from codestrata.plans.registry import part, query, ratio_sql, rounded
+from codestrata.plans.report import Layering, Sources, as_rule_rows, build
+from codestrata.plans.registry import RAW, part, query, ratio_sql, rounded
 from codestrata.plans.tables import Facts
 
 TOLERANCE = 0.1
@@ -206,7 +207,9 @@ part("ccc", f"SELECT class_id, max(cc) AS mx, {ratio_sql('sum(cc)', 'count(*)',
 @query("q_cross_classes", """SELECT c.class_id, m.mi AS file_mi, x.mx AS max_method_cc, x.mean AS mean_method_cc FROM cls c
   LEFT JOIN mif m USING (filepath) LEFT JOIN ccc x USING (class_id)""")
 def _(f):
-    return relations.cross_classes(classes(f), functions(f), bound(f), files(f)).select("class_id", "file_mi", "max_method_cc", "mean_method_cc")
+    return relations.cross_classes(classes(f), relations.method_stats(functions(f), bound(f)), files(f)).select(
+        "class_id", "file_mi", "max_method_cc", "mean_method_cc"
+    )
 
 
 # ----------------------------------------------------------------- layer graph
@@ -399,8 +402,9 @@ part("top", """SELECT class_id, max_by(cc, cc * 1000000000 - lineno) AS cc, max_
 @query("q_overloaded", event_sql("OVERLOADED_CLASS", "class_id", "CASE WHEN lcom4 >= 3 AND cc > 15 THEN 'error' ELSE 'warning' END", "strong", "cohesion+radon",
   "cls JOIN top USING (class_id) WHERE NOT excluded AND lcom4 > 1", filepath="filepath", lineno="lineno", class_name="class_name", lcom4="lcom4", cc="cc"))
 def _(f):
-    rows = relations.cross_classes(classes(f), functions(f), bound(f), files(f))
-    return flat(events.overloaded(rows, functions(f), bound(f)))
+    # The event needs no file metrics, so only the method statistics are joined.
+    stats = relations.method_stats(functions(f), bound(f))
+    return flat(events.overloaded(classes(f).join(stats, "class_id")))
 
 
 part("wrst", """SELECT layer, max(lcom4) AS lcom4 FROM cls WHERE NOT excluded AND lcom4 > 1 GROUP BY layer""")
@@ -425,14 +429,7 @@ def _(f):
 
 
 def graph_violations(f: Facts) -> DataFrame:
-    none = {"tier": "bigint", "dep_tier": "bigint", "skip_distance": "bigint", "instability": "double", "dep_instability": "double"}
-    parts = []
-    for at, rows in enumerate((sdp(f), slp(f))):
-        for name, kind in none.items():
-            if name not in rows.columns:
-                rows = rows.withColumn(name, F.lit(None).cast(kind))
-        parts.append(rows.select("rule", "layer", "dependency", "severity", *none, F.lit(at).cast("long").alias("seq")))
-    return parts[0].unionByName(parts[1])
+    return as_rule_rows(sdp(f), slp(f))
 
 
 part("lb", "SELECT from_layer, to_layer, count(*) AS n FROM broken GROUP BY ALL")
@@ -658,3 +655,47 @@ def _(f):
     orders = f.table("orders").select(F.col("o_custkey").alias("class_id"), F.col("o_orderkey").alias("method_id"))
     uses = f.table("lineitem").join(orders, F.col("l_orderkey") == F.col("method_id")).select("class_id", "method_id", F.col("l_suppkey").alias("attr"))
     return cohesion.lcom4(orders, uses)
+
+
+# ---------------------------------------------------------------- whole report
+
+_EVENT_NAMES = (
+    "q_high_cc_events", "q_low_mi_events", "q_low_cohesion_events", "q_dead_events", "q_import_cycle_events", "q_overloaded", "q_dead_risk",
+    "q_dead_layer", "q_unstable_layer", "q_low_mi_layer", "q_low_cohesion_layer",
+)
+
+
+def _all_events_sql() -> str:
+    texts = [RAW[name] for name in _EVENT_NAMES] + [_MERGE_SQL]
+    return " UNION ALL ".join(f"SELECT id, type, severity, strength, sources FROM ({t})" for t in texts)
+
+
+def report(f: Facts) -> dict[str, DataFrame]:
+    contract_totals = f.table("orders").select(
+        (F.col("o_orderpriority") == "5-LOW").cast("long").alias("kept"), (F.col("o_orderpriority") != "5-LOW").cast("long").alias("broken")
+    )
+    # Dead names are orders without items; all other call nodes have edges.
+    calls = f.calls().select("source", "target")
+    nodes = f.dead_names().union(calls.select("source")).union(calls.select("target")).distinct()
+    return build(
+        f.spark,
+        Sources(f.blocks(), f.mi_files(), f.cohesion_rows(), f.edges(), f.contract_rows(), contract_totals, nodes, calls, f.colliding_calls()),
+        Layering(f.layers().select("layer"), f.prefixes(), DEPTHS, f.tiers(), f.interfaces(), f.tiers().where("tier > 90"), f.exceptions(), TOLERANCE),
+    )
+
+
+@query("q_report_events", _all_events_sql())
+def _(f):
+    return report(f)["violations"].select(
+        "id", "type", "severity", "strength", F.array_join(F.transform("evidence", lambda e: e["source"]), "+").alias("sources")
+    )
+
+
+@query("q_report_summary", f"""SELECT count(*) AS violations_total, count(*) FILTER (strength = 'strong') AS strong_violations, count(*) FILTER (strength <> 'strong') AS weak_violations FROM ({_all_events_sql()})""")
+def _(f):
+    return report(f)["summary_violations"]
+
+
+@query("q_report_layers", "SELECT layer, tier, false AS is_utility, ca, ce, instability, sdp_n AS sdp_violations, slp_n AS slp_violations, broken_n AS broken_imports FROM cnt JOIN lay USING (layer)")
+def _(f):
+    return report(f)["layers"].select("layer", "tier", "is_utility", "ca", "ce", "instability", "sdp_violations", "slp_violations", "broken_imports")

@@ -11,6 +11,7 @@ from codestrata.plans.tables import Facts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+RAW: dict[str, str] = {}
 PARTS: dict[str, str] = {}
 
 
@@ -25,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable:
     def keep(fn: Callable[[Facts], DataFrame]) -> Callable:
         QUERIES[name] = lambda spark, sf_dir: fn(Facts(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = expand(sql)
+            RAW[name], ORACLES[name] = sql, expand(sql)
         return fn
 
     return keep

@@ -233,13 +233,13 @@ def _(f):
     return tool_reports.source_status(f.table("events").select(F.concat(F.lit("s"), F.col("event_id")).alias("source"), text.alias("json")))
 
 
-@query("q_candidate_dedup", """SELECT 'c' || o_custkey AS path, 'K' AS class_name, max(o_orderkey % 100)::BIGINT AS priority,
+@query("q_candidate_dedup", """SELECT 'c' || o_custkey AS path, 'K' AS class_name, max(CAST(floor(o_totalprice / 1000.0::DOUBLE) AS BIGINT)) AS priority,
   CASE WHEN count(DISTINCT o_orderstatus) > 1 THEN 'both' ELSE min(o_orderstatus) END AS candidate_type, CASE WHEN count(*) > 1 THEN string_agg(DISTINCT substr(o_orderpriority, 1, 1), ',' ORDER BY substr(o_orderpriority, 1, 1))
   ELSE min(substr(o_orderpriority, 1, 1)) END AS reasons FROM orders GROUP BY o_custkey""")
 def _(f):
     rows = f.table("orders").select(
         F.concat(F.lit("c"), F.col("o_custkey")).alias("path"), F.lit("K").alias("class_name"), F.col("o_orderstatus").alias("candidate_type"),
-        F.array(F.substring("o_orderpriority", 1, 1)).alias("reasons"), (F.col("o_orderkey") % 100).alias("priority"),
+        F.array(F.substring("o_orderpriority", 1, 1)).alias("reasons"), F.floor(F.col("o_totalprice") / 1000.0).alias("priority"),
     )
     return heuristics.merge_candidates(rows).select("path", "class_name", "priority", "candidate_type", F.array_join("reasons", ",").alias("reasons"))
 

@@ -11,10 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codestrata.session import cut_lineage
+
 
 class Facts:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.root = spark, sf_dir
+        self._edges: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
@@ -95,15 +98,20 @@ class Facts:
 
     def edges(self) -> DataFrame:
         """Layer edges: the three supplier nations each customer nation buys from most."""
+        if self._edges is not None:
+            return self._edges
         pairs = self.import_rows().where(F.col("c_nationkey") != F.col("s_nationkey")).groupBy("c_nationkey", "s_nationkey").agg(
             F.count(F.lit(1)).alias("n")
         )
+        # At most a few hundred pairs of nations: written once, so no rule repeats the joins behind them.
         top = pairs.groupBy("c_nationkey").agg(
             F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "s_nationkey"))), 1, 3).alias("top")
         )
-        return top.select("c_nationkey", F.explode("top").alias("t")).select(
+        found = top.select("c_nationkey", F.explode("top").alias("t")).select(
             F.concat(F.lit("n"), F.col("c_nationkey")).alias("source"), F.concat(F.lit("n"), F.col("t.s_nationkey")).alias("target")
         )
+        self._edges = cut_lineage(found)
+        return self._edges
 
     def contract_rows(self) -> DataFrame:
         """Broken imports: returned items bought inside one region."""
