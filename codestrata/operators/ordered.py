@@ -26,6 +26,19 @@ def slices(df: DataFrame, order: Sequence[Column | str], name: str = "slice", co
     return cut_lineage(df.repartitionByRange(width, *order).withColumn(name, F.spark_partition_id()))
 
 
+def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "seq") -> DataFrame:
+    """Add consecutive numbers from 0 in the given order, which must be total."""
+    cut = slices(df, order, "_slice")
+    sizes = cut.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy().orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inner = Window.partitionBy("_slice").orderBy(*order)
+    return (
+        cut.withColumn("_at", F.row_number().over(inner)).join(offsets, "_slice")
+        .withColumn(name, (F.col("_off") + F.col("_at") - 1).cast("long")).drop("_slice", "_at", "_off")
+    )
+
+
 def fill_down(
     df: DataFrame, keys: Sequence[str], slice_col: str, order: Sequence[Column | str], value: str, name: str
 ) -> DataFrame:
