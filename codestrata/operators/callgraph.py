@@ -114,3 +114,10 @@ def edge_totals(edges: DataFrame) -> DataFrame:
         F.count_if(F.col("confidence") == "high").alias("edge_count_high"),
         F.count_if(F.col("confidence") == "low").alias("edge_count_low"),
     )
+
+
+def parse_warning(all_nodes: DataFrame, edges: DataFrame) -> Column:
+    """True when names were read but not one edge, which points at an unknown text format."""
+    total = all_nodes.agg(F.count(F.lit(1)).alias("n")).scalar()
+    linked = edges.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return (total > 0) & (linked == 0)

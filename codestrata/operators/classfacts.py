@@ -167,14 +167,15 @@ def top_imports(rows: DataFrame) -> DataFrame:
     return first.groupBy("path", "package").agg(F.min("at").alias("at"))
 
 
-def import_graph(rows: DataFrame, package: str = "") -> DataFrame:
-    """``(importer, imported)`` modules.
+def import_graph(rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """``(importer, imported)`` modules; ``files(path)`` adds modules that hold no syntax rows.
 
     ``from a import b`` means ``a.b`` where that is a module of the project and
     ``a`` otherwise. Modules outside the project count as their root package.
     """
     found = rows.where(_is("import"))
-    modules = rows.select("path").distinct().select(_module(F.col("path")).alias("known"))
+    paths = rows.select("path") if files is None else rows.select("path").union(files.select("path"))
+    modules = paths.distinct().select(_module(F.col("path")).alias("known"))
     parts = F.split(_package_of(F.col("path")), r"\.")
     up = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - F.col("num") + 1, F.lit(0))), ".")
     origin = F.when(F.col("num") > 0, F.concat_ws(".", F.nullif(up, F.lit("")), "name")).otherwise(F.col("name"))
@@ -225,7 +226,9 @@ def overrides(project: DataFrame, methods: DataFrame) -> DataFrame:
 def interface_links(project: DataFrame) -> DataFrame:
     """``(class_name, interface)`` for direct bases that are known interfaces."""
     asked = project.select("class_name", F.explode(F.array_distinct("bases")).alias("interface"))
-    return asked.join(project.where("known_interface").select(F.col("class_name").alias("interface")), "interface", "left_semi")
+    return asked.join(project.where("known_interface").select(F.col("class_name").alias("interface")), "interface", "left_semi").select(
+        "class_name", "interface"
+    )
 
 
 # ------------------------------------------------------------ ancestors, LCOM4

@@ -9,7 +9,7 @@ from codestrata.operators.ordered import fill_down
 
 # Terminal colour codes; an indented import; the totals line.
 ANSI = r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])"
-IMPORT_LINE = r"^\s+(?:-\s+)?(\S+)\s*->\s*(\S+)\s*(?:\(l\.\d+(?:,\s*l\.\d+)*\))?\s*$"
+IMPORT_LINE = r"^(?:\s+|\s*-\s+)(\S+)\s*->\s*(\S+)\s*(?:\(l\.\d+(?:,\s*l\.\d+)*\))?\s*$"
 TOTALS = r"(?i)([0-9]+)\s+kept[^0-9]+([0-9]+)\s+broken"
 
 

@@ -242,7 +242,7 @@ def _import_graph(p: Project) -> None:
     external = p.config.externals(p.spark) if p.config.external_rows() else None
     p.sources.edges = cut_lineage(
         layers.layer_edges(
-            classfacts.import_graph(p.rows(), p.package), p.config.prefixes(p.spark), external, p.config.depths(), p.config.external_depths(),
+            classfacts.import_graph(p.rows(), p.files()), p.config.prefixes(p.spark), external, p.config.depths(), p.config.external_depths(),
             p.package, p.config.ignore_dirs,
         )
     )
