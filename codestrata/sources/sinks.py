@@ -24,6 +24,9 @@ RULE = "=" * 60
 def _skeleton(sources: pd.Series) -> pd.DataFrame:
     found = []
     for source in sources:
+        if source is None:
+            found.append((None, "no readable text"))
+            continue
         try:
             found.append((skeleton_text(source), None))
         except (SyntaxError, ValueError, RecursionError) as exc:
