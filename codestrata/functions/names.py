@@ -44,21 +44,21 @@ def module_to_path(module: Column) -> Column:
 
 def parent_name(name: Column, levels: int = 1) -> Column:
     """Drop the last ``levels`` dotted parts; null when nothing would be left."""
-    parts = F.split(name, r"\.")
-    kept = F.size(parts) - F.lit(levels)
-    return F.when(kept > 0, F.array_join(F.slice(parts, F.lit(1), F.greatest(kept, F.lit(1))), "."))
+    kept = dotted_size(name) - levels
+    return F.when(kept > 0, F.regexp_replace(name, rf"(\.[^.]*){{{levels}}}$", ""))
 
 
 def last_name(name: Column) -> Column:
-    return F.element_at(F.split(name, r"\."), -1)
+    return F.substring_index(name, ".", -1)
 
 
-def dotted_prefixes(module: Column) -> Column:
-    """``a.b.c`` -> ``[a, a.b, a.b.c]``; its size is bounded by the depth of the name."""
-    parts = F.split(module, r"\.")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), ".")
-    )
+def leading_parts(name: Column, count: int) -> Column:
+    """The first ``count`` dotted parts; a shorter name stays whole."""
+    return F.substring_index(name, ".", count)
+
+
+def dotted_size(name: Column) -> Column:
+    return F.length(name) - F.length(F.replace(name, F.lit("."), F.lit(""))) + 1
 
 
 def is_excluded_path(path: Column, fragments: Iterable[str] | None = None) -> Column:
@@ -75,12 +75,11 @@ def is_excluded_path(path: Column, fragments: Iterable[str] | None = None) -> Co
 
 def is_ignored_module(module: Column, package: str, ignored: Iterable[str]) -> Column:
     """True where a part below the package root is an ignored folder name."""
-    names = [n.strip() for n in ignored if n and n.strip()]
-    if not names:
-        return F.lit(False)
-    parts = F.split(module, r"\.")
-    inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1)))
-    return (parts[0] == package) & F.arrays_overlap(inner, F.array(*[F.lit(n) for n in names]))
+    names = [n.strip() for n in ignored if n and n.strip() and "." not in n]
+    test = F.lit(False)
+    for name in names:
+        test = test | F.contains(F.concat(module, F.lit(".")), F.lit(f".{name}."))
+    return F.startswith(module, F.lit(f"{package}.")) & test if names else F.lit(False)
 
 
 def is_qualified_name(name: Column) -> Column:

@@ -100,7 +100,8 @@ def parsed(answers: DataFrame) -> DataFrame:
 
 def stated_findings(answers: DataFrame) -> DataFrame:
     """One row per usable finding; file and class always come from the candidate, corroboration is always true."""
-    rows = answers.select("file_path", "class_name", F.posexplode("findings").alias("at", "f"))
+    # The outer form keeps the planner from pushing a copy of the whole parse below itself as a filter.
+    rows = answers.select("file_path", "class_name", F.posexplode_outer("findings").alias("at", "f")).where("f is not null")
     return rows.select(
         F.col("file_path").alias("path"), "class_name", "at", "f.*", F.lit("llm").alias("source"), F.lit(True).alias("heuristic_corroboration")
     )

@@ -234,18 +234,22 @@ def interface_links(project: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ ancestors, LCOM4
 
 
-def resolve_base(asked: DataFrame, definitions: DataFrame) -> DataFrame:
+def base_index(definitions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Definitions by name, and by name and file: each with its count and, where there is one only, the definition."""
+    one = F.min(F.struct(F.col("path").alias("p"), F.col("cls").alias("c")))
+    counted = [F.count(F.lit(1)).alias("n"), one.alias("d")]
+    anywhere = definitions.groupBy("class_name").agg(*counted).select(F.col("class_name").alias("base"), "n", F.when(F.col("n") == 1, F.col("d")).alias("single"))
+    here = definitions.groupBy("class_name", "path").agg(*counted).where("n = 1").select(F.col("class_name").alias("base"), "path", F.col("d").alias("local"))
+    return anywhere, here
+
+
+def resolve_base(asked: DataFrame, index: tuple[DataFrame, DataFrame]) -> DataFrame:
     """Find the definition a base name means for the caller's file.
 
     A single definition anywhere wins; among several only a single one in the
     caller's own file does. Names that stay open keep null columns.
     """
-    anywhere = definitions.groupBy("class_name").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("path").alias("p"), F.col("cls").alias("c"))).alias("d")
-    ).select(F.col("class_name").alias("base"), "n", F.when(F.col("n") == 1, F.col("d")).alias("single"))
-    here = definitions.groupBy("class_name", "path").agg(
-        F.count(F.lit(1)).alias("m"), F.min(F.struct(F.col("path").alias("p"), F.col("cls").alias("c"))).alias("d")
-    ).where("m = 1").select(F.col("class_name").alias("base"), "path", F.col("d").alias("local"))
+    anywhere, here = index
     found = asked.join(anywhere, "base", "left").join(here, ["base", "path"], "left")
     chosen = F.coalesce("single", "local")
     return found.select(*asked.columns, chosen["p"].alias("found_path"), chosen["c"].alias("found_cls"), F.coalesce("n", F.lit(0)).alias("hits"))
@@ -259,12 +263,14 @@ def ancestors(rows: DataFrame) -> DataFrame:
     """
     heads = cut_lineage(rows.where(_is("class")).select(*CLASS, F.col("name").alias("class_name")))
     links = cut_lineage(bases(rows).where("base <> '<dynamic>'").select(F.col("path").alias("at_path"), F.col("cls").alias("at_cls"), "base").distinct())
+    anywhere, here = base_index(heads)
+    index = cut_lineage(anywhere), cut_lineage(here)
     visited = heads.select(*CLASS, F.col("class_name").alias("base"))
     front = heads.select(*CLASS, F.col("path").alias("at_path"), F.col("cls").alias("at_cls"))
     found = None
     while True:
         asked = front.join(links, ["at_path", "at_cls"]).select(*CLASS, "base").distinct().join(visited, [*CLASS, "base"], "left_anti")
-        step = cut_lineage(resolve_base(asked, heads))
+        step = cut_lineage(resolve_base(asked, index))
         if step.isEmpty():
             break
         visited = visited.unionByName(step.select(*CLASS, "base"))
@@ -282,9 +288,9 @@ def init_attributes(rows: DataFrame, methods: DataFrame) -> DataFrame:
     return rows.where(_is("self_assign")).join(inits, METHOD, "left_semi").select(*CLASS, F.col("name").alias("attr")).distinct()
 
 
-def inherited_attributes(rows: DataFrame, methods: DataFrame) -> DataFrame:
-    """``(path, cls, attr)`` set by the constructors of ancestors."""
-    own = init_attributes(rows, methods).withColumnsRenamed({"path": "found_path", "cls": "found_cls"})
+def inherited_attributes(rows: DataFrame, initial: DataFrame) -> DataFrame:
+    """``(path, cls, attr)`` set by the constructors of ancestors; ``initial`` are all classes' own ones."""
+    own = initial.withColumnsRenamed({"path": "found_path", "cls": "found_cls"})
     return ancestors(rows).join(own, ["found_path", "found_cls"]).select(*CLASS, "attr").distinct()
 
 
@@ -299,9 +305,9 @@ def cohesion_rows(rows: DataFrame, methods: DataFrame, classes: DataFrame) -> Da
     vertices = cut_lineage(names.withColumn("method_id", F.monotonically_increasing_id()))
     last = methods.groupBy(*CLASS, "method_name").agg(F.max("meth").alias("meth"))
     active = last.join(kept.select(*METHOD), METHOD, "left_semi").join(vertices, [*CLASS, "method_name"]).select(*METHOD, "method_id")
+    own = cut_lineage(init_attributes(rows, methods))
     attributes = (
-        rows.where(_is("class_attr")).select(*CLASS, F.col("name").alias("attr"))
-        .union(init_attributes(rows, methods)).union(inherited_attributes(rows, methods)).distinct()
+        rows.where(_is("class_attr")).select(*CLASS, F.col("name").alias("attr")).union(own).union(inherited_attributes(rows, own)).distinct()
     )
     class_id = F.struct(*CLASS).alias("class_id")
     uses = (

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.functions.names import is_ignored_module
+from codestrata.functions.names import dotted_size, is_ignored_module, leading_parts
 from codestrata.functions.numbers import ratio, round_binary
 from codestrata.operators.graph import strong_components
 
@@ -30,14 +30,13 @@ def resolve(df: DataFrame, module: str, prefixes: DataFrame, depths: list[int],
     table = prefixes.groupBy("prefix").agg(
         pick("layer", "ord").alias("layer"), (F.max if last else F.min)("ord").alias("ord")
     )
-    parts = F.split(F.col(module), r"\.")
     result = df
     for depth in sorted(depths):
-        side = table.where(F.size(F.split("prefix", r"\.")) == depth).select(
+        side = table.where(dotted_size(F.col("prefix")) == depth).select(
             F.col("prefix").alias("_key"), F.struct("ord", "layer").alias(f"_at{depth}")
         )
-        key = F.when(F.size(parts) >= depth, F.array_join(F.slice(parts, 1, depth), "."))
-        result = result.withColumn("_key", key).join(side, "_key", "left").drop("_key")
+        # A name with fewer parts stays whole and cannot equal a prefix of this depth.
+        result = result.withColumn("_key", leading_parts(F.col(module), depth)).join(side, "_key", "left").drop("_key")
     hits = [F.col(f"_at{d}") for d in sorted(depths, reverse=last)]
     best = F.coalesce(*hits) if last else F.array_min(F.array_compact(F.array(*hits)))
     return result.withColumn(name, best["layer"]).drop(*[f"_at{d}" for d in depths])

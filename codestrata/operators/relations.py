@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.functions.names import joined_id, last_name, module_to_path, parent_name
+from codestrata.functions.names import dotted_size, joined_id, last_name, module_to_path, parent_name
 from codestrata.functions.numbers import mean_of, round_binary
 from codestrata.operators.ordered import as_of
 
@@ -156,7 +156,7 @@ def place_dead(dead: DataFrame, classes: DataFrame) -> DataFrame:
     """
     probe = dead.withColumn(
         "_probe", F.when(
-            F.size(F.split("qualified_name", r"\.")) >= 3,
+            dotted_size(F.col("qualified_name")) >= 3,
             joined_id(module_to_path(parent_name(F.col("qualified_name"), 2)), last_name(parent_name(F.col("qualified_name")))),
         )
     )

@@ -65,7 +65,10 @@ def filled(template: str, values: dict[str, Column]) -> Column:
 
 
 def findings_text(candidates: DataFrame, findings: DataFrame) -> DataFrame:
-    """``(class_name, findings)``: one line per finding of the class, by name alone, in emission order."""
+    """Add ``findings``: one line per finding of the class, by name alone, in emission order.
+
+    The project map holds one class per name, so a name's lines are those of one class.
+    """
     line = F.concat(F.lit("- ["), F.coalesce("principle", F.lit("?")), F.lit("] "), "message", F.lit(" (rule: "), "rule", F.lit(")"))
     lines = findings.groupBy("class_name").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("emit", line.alias("line")))), lambda x: x["line"]), "\n").alias("findings")

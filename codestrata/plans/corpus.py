@@ -17,7 +17,7 @@ from codestrata.plans.registry import part, query, rounded
 from codestrata.plans.tables import Facts
 from codestrata.session import cut_lineage
 from codestrata.sources import sinks
-from codestrata.sources.python_syntax import syntax_rows
+from codestrata.sources.python_syntax import stored_syntax_rows
 
 
 def _lines(*parts) -> Column:
@@ -94,11 +94,18 @@ class Corpus:
 
     def __init__(self, f: Facts):
         self.files = modules(f)
-        self.rows = cut_lineage(syntax_rows(self.files, spread=True))
+        self.rows = stored_syntax_rows(self.files, spread=True)
         self.methods = cf.method_facts(self.rows)
         self.classes = cf.class_facts(self.rows, self.methods)
         self.project = cf.project_classes(self.classes)
 
+    def settle(self) -> Corpus:
+        """Write methods and classes for a query that reads them many times."""
+        self.methods = cut_lineage(self.methods)
+        self.classes = cut_lineage(cf.class_facts(self.rows, self.methods))
+        self.project = cut_lineage(cf.project_classes(self.classes))
+        return self
+
     def findings(self) -> DataFrame:
         return h.findings(self.rows, self.project, self.methods)
 
@@ -187,7 +194,7 @@ def _(f):
 def _(f):
     c = Corpus(f)
     asked = cf.bases(c.rows).select(*cf.CLASS, "base")
-    found = cf.resolve_base(asked, c.classes.select(*cf.CLASS, "class_name"))
+    found = cf.resolve_base(asked, cf.base_index(c.classes.select(*cf.CLASS, "class_name")))
     return found.join(c.classes.select(*cf.CLASS, "class_name"), cf.CLASS).select("class_name", "base", "hits")
 
 
@@ -203,13 +210,13 @@ def _(f):
   UNION ALL SELECT c.path, 'b' || g.i FROM up u JOIN cp c ON c.k = u.k JOIN cp p ON p.k = u.a, LATERAL (SELECT i FROM range(p.s // 10 + 1) r(i)) g WHERE p.t = 'PROMO'""")
 def _(f):
     c = Corpus(f)
-    return cf.inherited_attributes(c.rows, c.methods).select("path", "attr")
+    return cf.inherited_attributes(c.rows, cf.init_attributes(c.rows, c.methods)).select("path", "attr")
 
 
 @query("q_ast_lcom4", f"""SELECT path AS filepath, class_name AS name, mc::BIGINT AS methods_count, lc::DOUBLE AS cohesion_score,
   CASE WHEN lc > 1 THEN {rounded('1.0::DOUBLE / lc::DOUBLE', 4)} ELSE 1.0 END AS cohesion_score_norm, class_kind, class_kind <> 'concrete' AS excluded_from_aggregation FROM lc WHERE mc > 0""")
 def _(f):
-    c = Corpus(f)
+    c = Corpus(f).settle()
     return cf.cohesion_rows(c.rows, c.methods, c.classes).select(
         "filepath", "name", "methods_count", "cohesion_score", "cohesion_score_norm", "class_kind", "excluded_from_aggregation"
     )
@@ -236,7 +243,7 @@ def _rule(name: str):
 
     @query(name, f"SELECT path, class_name, method_name, rule FROM fnd WHERE rule = '{code}'")
     def _(f):
-        return Corpus(f).findings().where(F.col("rule") == code).select("path", "class_name", "method_name", "rule")
+        return Corpus(f).settle().findings().where(F.col("rule") == code).select("path", "class_name", "method_name", "rule")
 
 
 for _name in ("lsp_h_001", "lsp_h_002", "lsp_h_003", "lsp_h_004", "ocp_h_001", "ocp_h_002", "ocp_h_004"):
@@ -248,7 +255,7 @@ part("fm", """SELECT path, class_name, method_name, list(rule ORDER BY CASE rule
 
 @query("q_finding_dedup", """SELECT path, class_name, method_name, rules[1] AS rule, CASE WHEN len(rules) > 1 THEN 'Also detected: ' || array_to_string(list_sort(rules[2:]), ', ') || '.' ELSE '' END AS note FROM fm""")
 def _(f):
-    return h.merge_findings(Corpus(f).findings()).select(
+    return h.merge_findings(Corpus(f).settle().findings()).select(
         "path", "class_name", "method_name", "rule", F.regexp_extract("explanation", r"(Also detected: .*)$", 1).alias("note")
     )
 
@@ -263,7 +270,7 @@ part("cand", """SELECT *, CASE WHEN o AND l THEN 'both' WHEN l THEN 'lsp' WHEN o
 
 @query("q_identify_candidates", "SELECT path, class_name, candidate_type, priority, n::INT AS reasons FROM cand")
 def _(f):
-    c = Corpus(f)
+    c = Corpus(f).settle()
     return h.candidates(c.project, c.findings()).select("path", "class_name", "candidate_type", "priority", F.size("reasons").alias("reasons"))
 
 

@@ -14,7 +14,7 @@ from codestrata.operators import callgraph, classfacts, contracts, events, heuri
 from codestrata.session import cut_lineage
 from codestrata.sources import files as source_files
 from codestrata.sources import tool_reports
-from codestrata.sources.python_syntax import syntax_rows
+from codestrata.sources.python_syntax import stored_syntax_rows
 
 SOURCES = ("radon", "cohesion", "import_graph", "import_linter", "pyan3")
 
@@ -190,6 +190,7 @@ class Project:
     findings: DataFrame | None = None
     candidates: DataFrame | None = None
     _rows: DataFrame | None = None
+    _methods: DataFrame | None = None
 
     @property
     def package(self) -> str:
@@ -200,9 +201,14 @@ class Project:
 
     def rows(self) -> DataFrame:
         if self._rows is None:
-            self._rows = cut_lineage(syntax_rows(self.files()))
+            self._rows = stored_syntax_rows(self.files())
         return self._rows
 
+    def methods(self) -> DataFrame:
+        if self._methods is None:
+            self._methods = cut_lineage(classfacts.method_facts(self.rows()))
+        return self._methods
+
     def json(self, name: str) -> DataFrame | None:
         path = self.reports.get(name)
         return self.spark.read.text(path, wholetext=True).withColumnRenamed("value", "json") if path else None
@@ -231,7 +237,7 @@ def _complexity(p: Project) -> None:
 
 @analyzer("cohesion")
 def _cohesion(p: Project) -> None:
-    methods = classfacts.method_facts(p.rows())
+    methods = p.methods()
     p.sources.cohesion = cut_lineage(classfacts.cohesion_rows(p.rows(), methods, classfacts.class_facts(p.rows(), methods)))
 
 
@@ -275,8 +281,7 @@ def _calls(p: Project) -> None:
 
 @analyzer("heuristics")
 def _rules(p: Project) -> None:
-    rows = p.rows()
-    methods = classfacts.method_facts(rows)
+    rows, methods = p.rows(), p.methods()
     project = cut_lineage(classfacts.project_classes(classfacts.class_facts(rows, methods)))
     found = cut_lineage(heuristics.findings(rows, project, methods))
     p.findings = heuristics.merge_findings(found)

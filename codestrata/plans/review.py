@@ -15,7 +15,7 @@ from codestrata.sources.provider import Transport, checked_transport
 
 # Settings a configuration may leave out.
 DEFAULT_LIMIT = 1000
-DEFAULT_CACHE = ".solid-cache/llm"
+DEFAULT_CACHE = ".review-cache"
 DEFAULT_PROMPTS = "prompts"
 CACHE_SCHEMA = "key string, content string, tokens_used bigint, model string"
 

@@ -167,7 +167,7 @@ def _(f):
 @query("q_validate_items", """SELECT event_id, 'u' || user_id AS class_name, 'OCP-LLM-001' AS rule, 'error' AS severity, 'm' || event_id AS message, 'd' AS explanation, NULL::VARCHAR AS analyzed_with FROM events WHERE event_type = 'click' AND value < 5
   UNION ALL SELECT event_id, 'u' || user_id, 'LSP-LLM-001', 'warning', 'x', 'e', 'a' FROM events WHERE event_type IN ('click', 'purchase')""")
 def _(f):
-    rows = answered(f).select("event_id", "class_name", F.explode("findings").alias("f"))
+    rows = answered(f).select("event_id", "class_name", F.explode_outer("findings").alias("f")).where("f is not null")
     return rows.select("event_id", "class_name", "f.rule", "f.severity", "f.message", "f.explanation", F.array_join("f.analyzed_with", ",").alias("analyzed_with"))
 
 

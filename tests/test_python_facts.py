@@ -262,7 +262,7 @@ HIERARCHY = {
 
 def test_ancestor_attributes(facts):
     rows, methods, classes, _ = made = facts(HIERARCHY)
-    named = cf.inherited_attributes(rows, methods).join(classes, cf.CLASS)
+    named = cf.inherited_attributes(rows, cf.init_attributes(rows, methods)).join(classes, cf.CLASS)
     got = {}
     for r in named.collect():
         got.setdefault(r.class_name, set()).add(r.attr)
@@ -273,7 +273,7 @@ def test_ancestor_attributes(facts):
 
 def test_base_resolution_counts_hits(facts):
     rows, _, classes, _ = facts(HIERARCHY)
-    found = cf.resolve_base(cf.bases(rows).select(*cf.CLASS, "base"), classes.select(*cf.CLASS, "class_name"))
+    found = cf.resolve_base(cf.bases(rows).select(*cf.CLASS, "base"), cf.base_index(classes.select(*cf.CLASS, "class_name")))
     got = {(r.path, r.base): (r.hits, r.found_path) for r in found.collect()}
     assert got["a.py", "Dup"] == (2, "a.py") and got["c.py", "Dup"] == (2, None) and got["b.py", "Base"] == (1, "a.py") and got["c.py", "External"] == (0, None)
 
