@@ -96,11 +96,17 @@ def classify_nodes(all_nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return flags.select("name", kind.alias("node_class"))
 
 
-def collision_rate(all_nodes: DataFrame, suspicious: DataFrame) -> Column:
-    """Exact share of suspicious names, as a scalar subquery."""
-    total = all_nodes.agg(F.count(F.lit(1)).alias("n")).scalar()
+def collisions(all_nodes: DataFrame, suspicious: DataFrame) -> DataFrame:
+    """One row: suspicious names, all names, and the exact share."""
     bad = suspicious.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return F.when(total > 0, bad.cast("double") / total.cast("double")).otherwise(0.0)
+    counted = all_nodes.agg(F.count(F.lit(1)).alias("nodes")).withColumn("suspicious", bad)
+    share = F.when(F.col("nodes") > 0, F.col("suspicious").cast("double") / F.col("nodes").cast("double")).otherwise(0.0)
+    return counted.withColumn("rate", share)
+
+
+def collision_rate(all_nodes: DataFrame, suspicious: DataFrame) -> float:
+    """The share as a number, computed once so that no later expression repeats the counts behind it."""
+    return collisions(all_nodes, suspicious).first()["rate"]
 
 
 def collision_status(rate: Column, limit: float = 0.35, abort: bool = False) -> Column:

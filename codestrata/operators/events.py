@@ -123,17 +123,15 @@ def import_cycles(cycles: DataFrame) -> DataFrame:
     )
 
 
-def merge_layer_violations(violations: DataFrame, broken: DataFrame) -> DataFrame:
+def merge_layer_violations(violations: DataFrame, pairs: DataFrame) -> DataFrame:
     """Join contract rows, SDP rows and SLP rows on the layer pair, then emit.
 
-    ``violations`` carries both rules and a ``seq``; ``broken(from_layer, to_layer,
-    contract_name, seq)`` is already resolved. The broken imports themselves stay
-    in ``broken``; the event holds their number, so no event grows with the data.
+    ``violations`` carries both rules and a ``seq``; ``pairs`` are the folded broken
+    imports. The event holds their number, so no event grows with the data; the
+    imports themselves are a relation of their own.
     """
     pair = ["from_layer", "to_layer"]
-    contract = broken.groupBy(*pair).agg(
-        F.count(F.lit(1)).alias("n"), F.min_by("contract_name", "seq").alias("contract_name")
-    ).select(*pair, F.struct("n", "contract_name").alias("linter"))
+    contract = pairs.select(*pair, F.struct("n", "contract_name").alias("linter"))
     rows = violations.where((F.col("layer") != "") & (F.col("dependency") != "")).withColumnsRenamed(
         {"layer": "from_layer", "dependency": "to_layer"}
     )

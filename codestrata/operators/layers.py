@@ -165,12 +165,22 @@ def layer_cycles(edges: DataFrame) -> DataFrame:
     )
 
 
-def layer_counters(layers: DataFrame, violations: DataFrame, broken_imports: DataFrame) -> DataFrame:
-    """Layers with their SDP, SLP and broken-import counts; ``broken_imports(from_layer, to_layer)``."""
+def broken_pairs(broken_imports: DataFrame) -> DataFrame:
+    """Resolved broken imports folded to one row per layer pair: their number and the first contract.
+
+    Both the counters and the events need no more than this, and it is as small as the layer list squared.
+    """
+    return broken_imports.groupBy("from_layer", "to_layer").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("contract_name", "seq").alias("contract_name")
+    )
+
+
+def layer_counters(layers: DataFrame, violations: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Layers with their SDP, SLP and broken-import counts; ``pairs`` are folded broken imports."""
     rules = violations.groupBy("layer").agg(
         F.count_if(F.col("rule") == SDP).alias("sdp_violations"), F.count_if(F.col("rule") == SLP).alias("slp_violations")
     )
-    broken = broken_imports.groupBy(F.col("from_layer").alias("layer")).agg(F.count(F.lit(1)).alias("broken_imports"))
+    broken = pairs.groupBy(F.col("from_layer").alias("layer")).agg(F.sum("n").alias("broken_imports"))
     return layers.join(rules, "layer", "left").join(broken, "layer", "left").na.fill(
         0, ["sdp_violations", "slp_violations", "broken_imports"]
     )

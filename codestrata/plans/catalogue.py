@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codestrata.config import config_table
 from codestrata.functions.names import is_excluded_path, is_ignored_module, path_to_module
+from codestrata.functions.numbers import round_binary
 from codestrata.operators import callgraph, cohesion, contracts, events, graph, layers, relations, summaries
 from codestrata.plans.report import Layering, Sources, as_rule_rows, build
 from codestrata.plans.registry import RAW, part, query, ratio_sql, rounded
@@ -334,7 +335,7 @@ def counters(f: Facts) -> DataFrame:
     edges = f.edges()
     rated = layers.stability(f.layers(), edges)
     rules = sdp(f).select("rule", "layer").unionByName(slp(f).select("rule", "layer"))
-    return layers.layer_counters(rated, rules, broken(f))
+    return layers.layer_counters(rated, rules, layers.broken_pairs(broken(f)))
 
 
 def broken(f: Facts) -> DataFrame:
@@ -342,10 +343,8 @@ def broken(f: Facts) -> DataFrame:
 
 
 def dead(f: Facts) -> DataFrame:
-    from codestrata.functions.numbers import round_binary
-
-    rate = round_binary(callgraph.collision_rate(f.call_nodes(), f.colliding_calls()), 4)
-    placed = relations.place_dead(relations.normal_dead(f.dead_names(), rate), classes(f))
+    rate = round(callgraph.collision_rate(f.call_nodes(), f.colliding_calls()), 4)
+    placed = relations.place_dead(relations.normal_dead(f.dead_names(), F.lit(rate)), classes(f))
     return layers.resolve(placed, "module", f.prefixes(), DEPTHS, "longest").drop("module")
 
 
@@ -448,7 +447,7 @@ _MERGE_SQL = " UNION ALL ".join((
 
 @query("q_layer_merge", _MERGE_SQL)
 def _(f):
-    return flat(events.merge_layer_violations(graph_violations(f), broken(f)))
+    return flat(events.merge_layer_violations(graph_violations(f), layers.broken_pairs(broken(f))))
 
 
 def order_events(f: Facts) -> DataFrame:
@@ -510,10 +509,8 @@ def _(f):
 @query("q_dead_summary", f"""SELECT (SELECT count(*) FROM dead) AS dead_node_count, (SELECT count(*) FROM dead, conf WHERE confidence = 'high') AS high_confidence_dead,
   {rounded('r', 4)} AS collision_rate FROM rate""")
 def _(f):
-    from codestrata.functions.numbers import round_binary
-
-    rate = round_binary(callgraph.collision_rate(f.call_nodes(), f.colliding_calls()), 4)
-    return summaries.dead_summary(dead(f), rate)
+    rate = round(callgraph.collision_rate(f.call_nodes(), f.colliding_calls()), 4)
+    return summaries.dead_summary(dead(f), F.lit(rate))
 
 
 # ------------------------------------------------------------------ call graph
@@ -569,14 +566,8 @@ def _(f):
 @query("q_collision_rate", f"""SELECT (SELECT count(*) FROM susp) AS suspicious, (SELECT count(*) FROM call_n) AS nodes, {rounded('r', 4)} AS collision_rate,
   CASE WHEN r > 0.35 THEN 'high_collision' ELSE 'ok' END AS status FROM rate""")
 def _(f):
-    from codestrata.functions.numbers import round_binary
-
-    nodes, bad = f.call_nodes(), f.colliding_calls()
-    rate = callgraph.collision_rate(nodes, bad)
-    return nodes.agg(F.count(F.lit(1)).alias("nodes")).select(
-        bad.agg(F.count(F.lit(1)).alias("n")).scalar().alias("suspicious"), "nodes", round_binary(rate, 4).alias("collision_rate"),
-        callgraph.collision_status(rate).alias("status"),
-    )
+    found = callgraph.collisions(f.call_nodes(), f.colliding_calls())
+    return found.select("suspicious", "nodes", round_binary(F.col("rate"), 4).alias("collision_rate"), callgraph.collision_status(F.col("rate")).alias("status"))
 
 
 part("tl", """SELECT substr(o_orderpriority, 3) AS file, o_orderkey * 16 AS pos, CASE WHEN o_orderstatus = 'P' THEN 'WARNING: o' || o_orderkey

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.config import ProjectConfig, config_table
-from codestrata.functions.numbers import round_binary
 from codestrata.operators import callgraph, classfacts, contracts, events, heuristics, layers, relations, summaries
 from codestrata.session import cut_lineage
 from codestrata.sources import files as source_files
@@ -98,19 +97,20 @@ def build(spark: SparkSession, given: Sources, around: Layering, limit: int = 1)
     rated = layers.stability(around.layers, edges)
     rules = _rule_rows(edges, rated, around)
     broken = layers.resolve_broken_imports(use("broken_imports"), around.prefixes, around.depths)
-    counted = cut_lineage(layers.attach_tier(layers.layer_counters(rated, rules, broken), around.tiers, around.utility))
+    pairs = cut_lineage(layers.broken_pairs(broken))
+    counted = cut_lineage(layers.attach_tier(layers.layer_counters(rated, rules, pairs), around.tiers, around.utility))
 
     nodes, bad = use("call_nodes"), use("suspicious")
     calls = callgraph.rate_edges(use("call_edges"), bad)
     kinds = callgraph.classify_nodes(nodes, calls)
-    rate = round_binary(callgraph.collision_rate(nodes, bad), 4)
+    rate = F.lit(round(callgraph.collision_rate(nodes, bad), 4))
     placed = relations.place_dead(relations.normal_dead(kinds.where("node_class = 'dead'").select("name"), rate), classes)
     dead = cut_lineage(layers.resolve(placed, "module", around.prefixes, around.depths, "longest").drop("module"))
 
     cycles = cut_lineage(layers.layer_cycles(edges))
     streams = [
         events.high_cc(full_functions), events.low_mi(index), events.low_cohesion_events(full_classes, limit), events.dead_code(dead),
-        events.import_cycles(cycles), events.merge_layer_violations(rules, broken), events.overloaded(full_classes, limit),
+        events.import_cycles(cycles), events.merge_layer_violations(rules, pairs), events.overloaded(full_classes, limit),
         events.dead_risk(dead, functions), events.dead_layer(dead, counted), events.unstable_layer(counted, full_classes, limit),
         events.low_mi_layer(index, counted), events.low_cohesion_layer(full_classes, counted, limit),
     ]
@@ -273,9 +273,9 @@ def _calls(p: Project) -> None:
     parsed = cut_lineage(callgraph.parse_blocks(cut_lineage(source_files.read_lines(p.spark, path))))
     nodes, bad = callgraph.nodes(parsed), callgraph.suspicious_blocks(parsed)
     if p.config.abort_on_collision:
-        status = p.spark.range(1).select(callgraph.collision_status(callgraph.collision_rate(nodes, bad), p.config.collision_limit, True)).first()[0]
-        if status == "aborted":
-            raise ValueError("too many name collisions")
+        rate = callgraph.collision_rate(nodes, bad)
+        if rate > p.config.collision_limit:
+            raise ValueError(f"name collisions at {rate:.0%}, the limit is {p.config.collision_limit:.0%}")
     p.sources.call_nodes, p.sources.call_edges, p.sources.suspicious = nodes, callgraph.raw_edges(parsed), bad
 
 

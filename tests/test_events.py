@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from codestrata.operators import events, relations
+from codestrata.operators import events, layers, relations
 
 FUNCTION = "filepath string, name string, type string, complexity long, rank string, lineno long"
 CLASS = (
@@ -78,7 +78,7 @@ def _merge(spark, contract, sdp, slp):
     for i, (distance, severity) in enumerate(slp):
         rows.append(("SLP-001", "a", "b", severity, None, None, 0, distance + 1, distance, 2 + i))
     broken = spark.createDataFrame([("a", "b", "c2", 5), ("a", "b", "c1", 3)] if contract else [], "from_layer string, to_layer string, contract_name string, seq long")
-    return sorted(events.merge_layer_violations(spark.createDataFrame(rows, shape), broken).collect(), key=lambda r: r.type)
+    return sorted(events.merge_layer_violations(spark.createDataFrame(rows, shape), layers.broken_pairs(broken)).collect(), key=lambda r: r.type)
 
 
 @pytest.mark.parametrize(
