@@ -188,8 +188,12 @@ def _dead_evidence() -> Column:
 
 
 def dead_risk(dead: DataFrame, functions: DataFrame) -> DataFrame:
-    """Dead entries that are complex functions; of functions sharing file and name the last row counts."""
-    order = F.col("seq") if "seq" in functions.columns else F.col("function_id")
+    """Dead entries that are complex functions.
+
+    Of functions sharing file and name the one listed last counts. Complexity
+    rows are listed from the highest value down, so that is the simplest one.
+    """
+    order = F.struct(-F.col("cc"), "lineno", "function_id")
     by_place = functions.groupBy("filepath", "name").agg(F.max_by(F.struct("function_id", "cc", "rank", "lineno"), order).alias("fn"))
     found = dead.withColumn("name", last_name(F.col("qualified_name"))).join(by_place, ["filepath", "name"]).where(F.col("fn.cc") > CC_LIMIT)
     return _event(

@@ -83,11 +83,12 @@ def build(spark: SparkSession, given: Sources, around: Layering, limit: int = 1)
         df = getattr(given, name)
         return df if df is not None else spark.createDataFrame([], _EMPTY[name])
 
-    functions = relations.normal_functions(use("blocks")).dropDuplicates(["function_id"])
-    classes = relations.normal_classes(use("cohesion")).dropDuplicates(["class_id"])
-    functions, classes = cut_lineage(functions), cut_lineage(classes)
+    all_functions, all_classes = relations.normal_functions(use("blocks")), relations.normal_classes(use("cohesion"))
+    # Repeated ids: the simplest function and the lowest class of the file stand; file counts take every row.
+    functions = cut_lineage(relations.last_per_key(all_functions.withColumn("_at", -F.col("cc")), ["function_id"], "_at").drop("_at"))
+    classes = cut_lineage(relations.last_per_key(all_classes.withColumn("_at", F.col("lineno")), ["class_id"], "_at").drop("_at"))
     edges = cut_lineage(use("edges"))
-    index = cut_lineage(events.with_layer(relations.file_index(functions, use("mi_files"), classes), around.prefixes, around.depths))
+    index = cut_lineage(events.with_layer(relations.file_index(all_functions, use("mi_files"), all_classes), around.prefixes, around.depths))
     bound = cut_lineage(relations.bind_methods(functions, classes))
     full_functions = relations.cross_functions(functions, bound, classes, index)
     full_classes = cut_lineage(

@@ -65,7 +65,7 @@ def test_dead_names_of_one_to_five_parts(spark):
 
 
 def test_dead_risk_takes_the_last_function_of_a_name(spark):
-    fns = functions(spark, ("a.py", "f", "function", 20, 1), ("a.py", "f", "function", 11, 9)).withColumn("seq", -F.col("cc"))
+    fns = functions(spark, ("a.py", "f", "function", 20, 1), ("a.py", "f", "function", 11, 9))
     dead = spark.createDataFrame([("a.f", "high", "a.py", None)], "qualified_name string, confidence string, filepath string, layer string")
     assert [r.metrics.cc for r in events.dead_risk(dead, fns).collect()] == [11]
 
