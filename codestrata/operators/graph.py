@@ -7,21 +7,6 @@ from pyspark.sql import functions as F
 
 from codestrata.session import cut_lineage
 
-# A counted graph of at most this many edges runs its rounds in one task each,
-# which saves the shuffles; a larger one stays spread out.
-ONE_TASK_EDGES = 20_000
-
-
-class _Rounds:
-    """Writes the state of each round, gathered in one partition only for a graph known to be small."""
-
-    def __init__(self, edges: DataFrame):
-        self.small = edges.count() <= ONE_TASK_EDGES
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        return cut_lineage(df).coalesce(1) if self.small else cut_lineage(df)
-
-
 def _mark(df: DataFrame) -> tuple:
     """A fingerprint of an edge set: row count plus an order-free hash sum."""
     h = F.xxhash64(*df.columns).cast("decimal(38,0)")
@@ -39,8 +24,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    keep = _Rounds(current)
-    current = current.coalesce(1) if keep.small else current
     before = _mark(current)
     while before[0]:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -52,7 +35,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = (
             moved.unionByName(low.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
         )
-        current = keep(small)
+        current = cut_lineage(small)
         after = _mark(current)
         if after == before:
             break
@@ -70,28 +53,26 @@ def strong_components(edges: DataFrame, steps: int = 4) -> DataFrame:
     rounds repeat. Each step costs one row per edge.
     """
     rest = cut_lineage(edges.where(F.col("source") != F.col("target")).select("source", "target").distinct())
-    keep = _Rounds(rest)
-    rest = rest.coalesce(1) if keep.small else rest
     found = None
     while True:
-        rest = _trim(rest, keep)
+        rest = _trim(rest)
         if rest.isEmpty():
             break
         # A loop on every node lets a value stay where it is, so a step reads the values only once.
-        loops = keep(rest.select(F.col("source").alias("node")).union(rest.select("target")).distinct())
-        looped = keep(rest.unionByName(loops.select(F.col("node").alias("source"), F.col("node").alias("target"))))
-        colours = _spread(loops.withColumn("colour", F.col("node")), looped, steps, keep)
+        loops = cut_lineage(rest.select(F.col("source").alias("node")).union(rest.select("target")).distinct())
+        looped = cut_lineage(rest.unionByName(loops.select(F.col("node").alias("source"), F.col("node").alias("target"))))
+        colours = _spread(loops.withColumn("colour", F.col("node")), looped, steps)
         inside = (
             looped.join(colours.select(F.col("node").alias("source"), F.col("colour").alias("c1")), "source")
             .join(colours.select(F.col("node").alias("target"), F.col("colour").alias("c2")), "target")
             .where(F.col("c1") == F.col("c2"))
             .select(F.col("target").alias("source"), F.col("source").alias("target"))
         )
-        reached = _reach(colours.where(F.col("node") == F.col("colour")).select("node", "colour"), keep(inside), steps, keep)
-        members = keep(reached.select("node", F.col("colour").alias("component")))
+        reached = _reach(colours.where(F.col("node") == F.col("colour")).select("node", "colour"), cut_lineage(inside), steps)
+        members = cut_lineage(reached.select("node", F.col("colour").alias("component")))
         found = members if found is None else found.unionByName(members)
         gone = members.select("node")
-        rest = keep(
+        rest = cut_lineage(
             rest.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(
                 gone.withColumnRenamed("node", "target"), "target", "left_anti"
             )
@@ -102,14 +83,14 @@ def strong_components(edges: DataFrame, steps: int = 4) -> DataFrame:
     return found
 
 
-def _trim(edges: DataFrame, keep: _Rounds) -> DataFrame:
+def _trim(edges: DataFrame) -> DataFrame:
     """Drop edges whose source nobody enters or whose target leads nowhere."""
     size = edges.count()
     while size:
         kept = edges.join(edges.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(
             edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi"
         )
-        kept = keep(kept)
+        kept = cut_lineage(kept)
         left = kept.count()
         edges = kept
         if left == size:
@@ -118,28 +99,28 @@ def _trim(edges: DataFrame, keep: _Rounds) -> DataFrame:
     return edges
 
 
-def _spread(colours: DataFrame, edges: DataFrame, steps: int, keep: _Rounds) -> DataFrame:
+def _spread(colours: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
     """Push the largest colour along the edges until nothing changes."""
     before = None
     while True:
         for _ in range(steps):
             pushed = edges.join(colours.withColumnRenamed("node", "source"), "source")
             colours = pushed.groupBy(F.col("target").alias("node")).agg(F.max("colour").alias("colour"))
-        colours = keep(colours)
+        colours = cut_lineage(colours)
         after = _mark(colours)
         if after == before:
             return colours
         before = after
 
 
-def _reach(start: DataFrame, edges: DataFrame, steps: int, keep: _Rounds) -> DataFrame:
+def _reach(start: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
     """Grow ``start(node, colour)`` along same-colour edges until nothing changes."""
     size = None
     while True:
         for _ in range(steps):
             grown = edges.join(start.withColumnRenamed("node", "source"), "source")
             start = grown.select(F.col("target").alias("node"), "colour").distinct()
-        start = keep(start)
+        start = cut_lineage(start)
         count = start.count()
         if count == size:
             return start

@@ -1,24 +1,23 @@
-"""Session defaults and lineage cutting."""
+"""Session defaults, lineage cutting and scratch tables."""
 
 from __future__ import annotations
 
 import atexit
-import functools
 import shutil
-import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Let adaptive execution split a hot join key even where that costs one more shuffle.
+SKEW = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}
+
 
 def local_session(app: str = "codestrata", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks. A cluster brings its own settings."""
+    builder = SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=SKEW)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
@@ -30,28 +29,70 @@ def local_session(app: str = "codestrata", cores: int | str = "*", shuffle_parti
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a folder of its own. A written
-    table is computed once, survives lost executors and carries its size, so
-    later joins are planned on real numbers.
+    A written table is computed once, survives lost executors and carries its
+    size, so later joins are planned on real numbers.
+    """
+    return _written(df, f"{scratch_folder(df.sparkSession)}/{uuid.uuid4().hex}")
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder for written tables, the same on every master.
+
+    It lies in ``spark.checkpoint.dir``, which all executors share. Where that
+    is unset it lies beside the tables in the warehouse, which they share too.
     """
-    path = f"{_scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    application = f"codestrata-{spark.sparkContext.applicationId}"
+    if named is not None:
+        return f"{named.rstrip('/')}/{application}"
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{application}"
+    _delete_at_exit(folder)
+    return folder
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """The written tables of one run, deleted together when the run ends.
+
+    ``keep`` writes a table that lives as long as the ``with`` block. What the
+    run returns must come from ``result``, which outlives it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        delete_folder(self.spark, self.folder)
+
+    def path(self, name: str = "") -> str:
+        return f"{self.folder}/{name or uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return _written(df, self.path())
+
+    def result(self, df: DataFrame) -> DataFrame:
+        return cut_lineage(df)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _scratch(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if named is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = _local_folder()
-    return f"{named.rstrip('/')}/codestrata-{context.applicationId}"
+_leaving: set[str] = set()
 
 
-@functools.cache
-def _local_folder() -> str:
-    folder = tempfile.mkdtemp(prefix="codestrata-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return folder
+def _delete_at_exit(folder: str) -> None:
+    place = urlparse(folder)
+    if folder not in _leaving and place.scheme in ("", "file"):
+        _leaving.add(folder)
+        atexit.register(shutil.rmtree, place.path, ignore_errors=True)
