@@ -35,9 +35,7 @@ def _strong(edges):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("limit", [0, 20_000])
-def test_components(spark, monkeypatch, seed, limit):
-    monkeypatch.setattr(graph, "ONE_TASK_EDGES", limit)
+def test_components(spark, seed):
     rng = random.Random(seed)
     edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(80)] + [(i, i + 1) for i in range(200, 230)] + [(500, n) for n in range(501, 540)]
     want = _components([e for e in edges if e[0] != e[1]])
@@ -45,9 +43,7 @@ def test_components(spark, monkeypatch, seed, limit):
     assert {r.node: r.component for r in got} == want
 
 
-@pytest.mark.parametrize("limit", [0, 20_000])
-def test_strong_components(spark, monkeypatch, limit):
-    monkeypatch.setattr(graph, "ONE_TASK_EDGES", limit)
+def test_strong_components(spark):
     rng = random.Random(5)
     edges = [(f"n{rng.randrange(30):02}", f"n{rng.randrange(30):02}") for _ in range(45)] + [("a", "b"), ("b", "c"), ("c", "a"), ("c", "x"), ("x", "y")]
     got = {}
