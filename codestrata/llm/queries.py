@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codestrata.llm import quality, sharding, url_filter
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -26,6 +28,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("op10_quality_rules")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from codestrata.llm import quality
-
     return quality.measure(table(spark, sf_dir, "documents"))
+
+
+@query("op5_sharding", sharding.oracle(40, ["lang", "source"]))
+def shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"), 40, ["lang", "source"])
+
+
+RULES = [
+    url_filter.Rule.of("allow", "org/"), url_filter.Rule.of("block", "example.org/es/"), url_filter.Rule.of("block", "example.org/en/1"),
+    url_filter.Rule.of("allow", "com/fr/"), url_filter.Rule.of("block", "com/de/"),
+]
+
+
+@query("op8_url_filters")
+def filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, RULES, url_filter.train(url_filter.labelled_by_rules(pages, RULES)))
