@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codestrata.llm import ngram_join, quality, sharding, url_filter
+from codestrata.llm import ngram_join, quality, sharding, substring_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +67,23 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM doc
 @query("op1_ngram_jaccard_join", NGRAM_SQL)
 def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
+SUBSTRING_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(ws) - 33)) AS pos, ws FROM w WHERE len(ws) >= 35),
+v AS (SELECT doc_id, pos, sha256(array_to_string(ws[pos : pos + 34], ' ')) AS win FROM p),
+r AS (SELECT win FROM v GROUP BY 1 HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 35)) AS i FROM v JOIN r USING (win)),
+g AS (SELECT doc_id, count(*) AS n, list(i) AS gone FROM c GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN g.n IS NULL THEN array_to_string(ws, ' ') WHEN g.n = len(ws) THEN ''
+    ELSE array_to_string(list_transform(list_sort(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(gone, i))), lambda i: ws[i]), ' ') END) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)
+"""
+
+
+@query("op6_substring_dedup", SUBSTRING_SQL)
+def repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.cleaned(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
