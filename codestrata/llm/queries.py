@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import ngram_join, quality, sharding, substring_dedup, url_filter
+from codestrata.llm import ngram_join, quality, sharding, substring_dedup, url_filter, warc
+from codestrata.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +88,22 @@ FROM w LEFT JOIN g USING (doc_id)
 def repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.cleaned(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, octet_length(encode(t)) AS n, sha1(t) AS h FROM p),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || h[5 * i // 4 + 1 : 5 * i // 4 + 2])::INT >> (3 - 5 * i % 4)::INT) & 31) + 1]), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM m
+"""
+
+
+@query("op7_warc", WARC_SQL)
+def archived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        records = warc.with_originals(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+        packages = scratch.keep(warc.write_packages(records, scratch.path("packages")))
+        read = warc.read_records(scratch.keep(warc.record_places(packages)), payloads=False)
+        return scratch.result(read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"))
