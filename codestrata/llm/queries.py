@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import ngram_join, quality, sharding, substring_dedup, url_filter, warc
+from codestrata.llm import line_dedup, ngram_join, quality, sharding, substring_dedup, url_filter, warc
 from codestrata.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,8 @@ def archived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         packages = scratch.keep(warc.write_packages(records, scratch.path("packages")))
         read = warc.read_records(scratch.keep(warc.record_places(packages)), payloads=False)
         return scratch.result(read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
+@query("op4_line_dedup")
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
