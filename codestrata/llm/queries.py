@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import line_dedup, ngram_join, quality, sharding, substring_dedup, url_filter, warc
+from codestrata.llm import decontaminate, line_dedup, ngram_join, pieces, quality, sharding, substring_dedup, url_filter, warc
 from codestrata.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,29 @@ def archived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_line_dedup")
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+CONTAINED_SQL = r"""
+WITH i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+gi AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k : k + 4], ' ')) END) AS g FROM i),
+gd AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k : k + 4], ' ')) END) AS g FROM d),
+n AS (SELECT item_id, count(*) AS n FROM gi GROUP BY 1),
+s AS (SELECT item_id, doc_id, count(*) AS s FROM gi JOIN gd USING (g) GROUP BY 1, 2)
+SELECT item_id, doc_id, n::BIGINT AS n_item, s::BIGINT AS n_shared FROM s JOIN n USING (item_id) WHERE 100 * s >= 75 * n
+"""
+
+
+@query("op3_benchmark_decontamination", CONTAINED_SQL)
+def contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_sentencepiece")
+def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("given")), "given")
+    back = pieces.decode(encoded)
+    same = F.col("text").eqNullSafe(F.col("given"))
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), same.alias("round_trip"))
