@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import decontaminate, line_dedup, ngram_join, pieces, quality, sharding, substring_dedup, url_filter, warc
+from codestrata.llm import decontaminate, line_dedup, ngram_join, pieces, quality, sharding, substring_dedup, token_files, url_filter, warc
 from codestrata.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,8 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = pieces.decode(encoded)
     same = F.col("text").eqNullSafe(F.col("given"))
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), same.alias("round_trip"))
+
+
+@query("op2_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.counts(table(spark, sf_dir, "documents"))
