@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import uuid
 from urllib.parse import urlparse
@@ -56,6 +57,16 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished jobs now.
+
+    It does so when the driver collects its garbage, which may otherwise be
+    long after a written table has made those files useless.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """The written tables of one run, deleted together when the run ends.
 
@@ -77,7 +88,9 @@ class Scratch:
         return f"{self.folder}/{name or uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame) -> DataFrame:
-        return _written(df, self.path())
+        table = _written(df, self.path())
+        release_shuffles(self.spark)
+        return table
 
     def result(self, df: DataFrame) -> DataFrame:
         return cut_lineage(df)
