@@ -10,7 +10,8 @@ from pyspark.sql import SparkSession
 from codestrata.config import ProjectConfig
 from codestrata.plans.report import Project, run
 from codestrata.plans.review import review, review_settings, review_status
-from codestrata.sources.sinks import skeleton_blocks, skeletons, tree_lines, write_report
+from codestrata.sources.files import scan_names
+from codestrata.sources.sinks import TREE_SKIP, skeleton_blocks, skeletons, tree_lines, write_report
 
 log = logging.getLogger("codestrata")
 
@@ -37,7 +38,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.texts:
         files = project.files()
         sections["skeleton"] = skeleton_blocks(skeletons(files)).orderBy("path")
-        sections["tree"] = tree_lines(files).orderBy("place").select("line")
+        sections["tree"] = tree_lines(scan_names(session, root, TREE_SKIP)).orderBy("place").select("line")
     write_report(sections, args.out)
     return 0
 

@@ -36,10 +36,6 @@ def _texts(value: Any) -> list[str]:
     return [v.strip() for v in value if isinstance(v, str) and v.strip()] if isinstance(value, list) else []
 
 
-def part_counts(prefixes: Sequence[str]) -> list[int]:
-    return sorted({p.count(".") + 1 for p in prefixes})
-
-
 @dataclass(frozen=True)
 class ProjectConfig:
     package_root: str = ""
@@ -141,31 +137,3 @@ class ProjectConfig:
 
     def names(self, spark: SparkSession, values: Sequence[str]) -> DataFrame:
         return config_table(spark, "layer string", [(v,) for v in values])
-
-    def depths(self) -> list[int]:
-        return part_counts([p for _, p, _ in self.prefix_rows()])
-
-    def external_depths(self) -> list[int]:
-        return part_counts([p for _, p, _ in self.external_rows()])
-
-
-def synced_contract_config(base_text: str, config: ProjectConfig, package: str) -> str:
-    """A contract checker's INI text with this project's package and layers filled in."""
-    import configparser
-    import io
-
-    ini = configparser.RawConfigParser()
-    ini.optionxform = str  # type: ignore[assignment]
-    ini.read_string(base_text)
-    if ini.has_section("importlinter"):
-        ini.set("importlinter", "root_packages", f"\n    {package}")
-        ini.set("importlinter", "unmatched_ignore_imports", "warn")
-    order = config.layer_order or list(config.layers)
-    names = [" | ".join(n) if isinstance(n, list) else n for n in order]
-    for section in ini.sections():
-        is_contract = section.startswith("importlinter:contract:")
-        if is_contract and names and ini.get(section, "type", fallback="").strip().lower() == "layers":
-            ini.set(section, "layers", "\n" + "\n".join(f"    {n}" for n in names))
-    out = io.StringIO()
-    ini.write(out)
-    return out.getvalue()

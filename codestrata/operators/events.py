@@ -218,9 +218,9 @@ def dead_layer(dead: DataFrame, layers: DataFrame) -> DataFrame:
     )
 
 
-def with_layer(df: DataFrame, prefixes: DataFrame, depths: list[int]) -> DataFrame:
+def with_layer(df: DataFrame, prefixes: DataFrame) -> DataFrame:
     """The layer of each row's file, by longest prefix of its module name."""
-    return resolve(df.withColumn("_module", path_to_module(F.col("filepath"))), "_module", prefixes, depths, "longest").drop("_module")
+    return resolve(df.withColumn("_module", path_to_module(F.col("filepath"))), "_module", prefixes, "longest").drop("_module")
 
 
 def unstable_layer(layers: DataFrame, classes: DataFrame, limit: int = LCOM4_LIMIT) -> DataFrame:

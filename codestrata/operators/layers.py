@@ -18,10 +18,10 @@ from codestrata.operators.graph import strong_components
 SDP, SLP = "SDP-001", "SLP-001"
 
 
-def resolve(df: DataFrame, module: str, prefixes: DataFrame, depths: list[int], rule: str, name: str = "layer") -> DataFrame:
+def resolve(df: DataFrame, module: str, prefixes: DataFrame, rule: str, name: str = "layer") -> DataFrame:
     """Add the layer of a dotted module name by one equi-join per prefix depth.
 
-    ``prefixes(layer, prefix, ord)``; ``depths`` lists the part counts that occur.
+    ``prefixes(layer, prefix, ord)``; the depths are the part counts that occur in it.
     ``longest`` lets the deepest prefix win and, for a repeated prefix, the last
     entry; ``first`` lets the lowest ``ord`` win whatever its length.
     """
@@ -31,7 +31,10 @@ def resolve(df: DataFrame, module: str, prefixes: DataFrame, depths: list[int],
         pick("layer", "ord").alias("layer"), (F.max if last else F.min)("ord").alias("ord")
     )
     result = df
-    for depth in sorted(depths):
+    depths = sorted(r[0] for r in prefixes.select(dotted_size(F.col("prefix"))).distinct().collect())
+    if not depths:
+        return result.withColumn(name, F.lit(None).cast("string"))
+    for depth in depths:
         side = table.where(dotted_size(F.col("prefix")) == depth).select(
             F.col("prefix").alias("_key"), F.struct("ord", "layer").alias(f"_at{depth}")
         )
@@ -43,19 +46,19 @@ def resolve(df: DataFrame, module: str, prefixes: DataFrame, depths: list[int],
 
 
 def layer_edges(
-    imports: DataFrame, internal: DataFrame, external: DataFrame | None, depths: list[int], external_depths: list[int],
+    imports: DataFrame, internal: DataFrame, external: DataFrame | None,
     package: str = "", ignored: tuple[str, ...] = (),
 ) -> DataFrame:
     """Distinct ``(source, target)`` layers over ``imports(importer, imported)``."""
     kept = imports.where(
         ~is_ignored_module(F.col("importer"), package, ignored) & ~is_ignored_module(F.col("imported"), package, ignored)
     )
-    named = resolve(kept, "importer", internal, depths, "first", "source").where(F.col("source").isNotNull())
-    named = resolve(named, "imported", internal, depths, "first", "_in")
+    named = resolve(kept, "importer", internal, "first", "source").where(F.col("source").isNotNull())
+    named = resolve(named, "imported", internal, "first", "_in")
     if external is None:
         named = named.withColumn("target", F.col("_in"))
     else:
-        named = resolve(named, "imported", external, external_depths, "first", "_out")
+        named = resolve(named, "imported", external, "first", "_out")
         named = named.withColumn("target", F.coalesce("_in", "_out"))
     return (
         named.where(F.col("target").isNotNull() & (F.col("source") != F.col("target"))).select("source", "target").distinct()
@@ -104,9 +107,9 @@ def sdp_violations(
         F.lit(SDP).alias("rule"), F.col("source").alias("layer"), F.col("target").alias("dependency"),
         F.lit("error").alias("severity"), "instability", "dep_instability",
         F.concat(
-            F.col("source"), F.lit(" (I="), i.cast("string"), F.lit(") depends on "), F.col("target"), F.lit(" (I="), d.cast("string"),
-            F.lit("), but "), F.col("target"), F.lit(" is less stable than "), F.col("source"), F.lit(" (violation margin: "),
-            round_binary(i - d, 2).cast("string"), F.lit(f", tolerance: {float(tolerance)})"),
+            F.lit("import from "), F.col("source"), F.lit(" to "), F.col("target"), F.lit(": instability "), i.cast("string"),
+            F.lit(" meets "), d.cast("string"), F.lit(f"; the {'target' if textbook else 'source'} is the less stable side by "),
+            round_binary(F.abs(i - d), 2).cast("string"), F.lit(f" where {float(tolerance)} is allowed"),
         ).alias("message"),
     )
 
@@ -142,8 +145,8 @@ def slp_violations(edges: DataFrame, tiers: DataFrame, interfaces: DataFrame) ->
         s.cast("long").alias("tier"), t.cast("long").alias("dep_tier"), (t - s - 1).cast("long").alias("skip_distance"),
         F.sequence(s + 1, t - 1).alias("skipped_tiers"),
         F.concat(
-            F.col("source"), F.lit(" (tier="), s.cast("string"), F.lit(") depends directly on "), F.col("target"), F.lit(" (tier="),
-            t.cast("string"), F.lit("), skipping "), (t - s - 1).cast("string"), F.lit(" tier(s): ["), names, F.lit("]"),
+            F.lit("import from "), F.col("source"), F.lit(" to "), F.col("target"), F.lit(" goes from tier "), s.cast("string"),
+            F.lit(" to tier "), t.cast("string"), F.lit(" and leaves out "), names,
         ).alias("message"),
     )
 
@@ -186,9 +189,9 @@ def layer_counters(layers: DataFrame, violations: DataFrame, pairs: DataFrame) -
     )
 
 
-def resolve_broken_imports(rows: DataFrame, prefixes: DataFrame, depths: list[int]) -> DataFrame:
+def resolve_broken_imports(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Contract rows with both ends resolved; rows inside one layer or without a layer drop out."""
-    named = resolve(resolve(rows, "importer", prefixes, depths, "longest", "from_layer"), "imported", prefixes, depths, "longest", "to_layer")
+    named = resolve(resolve(rows, "importer", prefixes, "longest", "from_layer"), "imported", prefixes, "longest", "to_layer")
     return named.where(
         F.col("from_layer").isNotNull() & F.col("to_layer").isNotNull() & (F.col("from_layer") != F.col("to_layer"))
     )

@@ -23,13 +23,6 @@ def last_per_key(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return best.select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
 
 
-def first_per_key(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """Keep the row with the lowest ``seq`` per key."""
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(seq)).alias("_row"))
-    return best.select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
-
-
 def normal_functions(blocks: DataFrame) -> DataFrame:
     """Complexity blocks -> function rows with their key."""
     count = F.col("parameter_count") if "parameter_count" in blocks.columns else F.lit(None)
@@ -81,33 +74,26 @@ def attach_parameter_counts(functions: DataFrame, counts: DataFrame) -> DataFram
 def file_index(functions: DataFrame, mi_files: DataFrame, classes: DataFrame) -> DataFrame:
     """Full outer merge of three sources on the path, in one shuffle.
 
-    Each source is first folded to one partial row per path on the map side.
+    Each source is first folded to one partial row per path on the map side. Of several
+    maintainability rows of a path the last by ``seq`` counts, with its own rank; without
+    that column the one of the higher value.
     """
-    none_long, none_double, none_text = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    order = F.col("seq").cast("long") if "seq" in mi_files.columns else F.lit(0).cast("long")
+    rated = mi_files.select("filepath", F.struct(order.alias("seq"), "mi", F.col("rank").alias("mi_rank")).alias("rated"))
     parts = (
-        functions.select(
-            "filepath", F.col("cc"), none_double.alias("mi"), none_text.alias("mi_rank"), F.lit(0).alias("is_class"), F.lit(0).alias("is_mi")
-        )
-        .unionByName(
-            mi_files.select(
-                "filepath", none_long.alias("cc"), "mi", F.col("rank").alias("mi_rank"), F.lit(0).alias("is_class"), F.lit(1).alias("is_mi")
-            )
-        )
-        .unionByName(
-            classes.select(
-                "filepath", none_long.alias("cc"), none_double.alias("mi"), none_text.alias("mi_rank"), F.lit(1).alias("is_class"), F.lit(0).alias("is_mi")
-            )
-        )
+        functions.select("filepath", "cc")
+        .unionByName(rated, allowMissingColumns=True)
+        .unionByName(classes.select("filepath", F.lit(1).alias("is_class")), allowMissingColumns=True)
     )
-    return parts.groupBy("filepath").agg(
-        F.max("mi").alias("mi"),
-        F.max("mi_rank").alias("mi_rank"),
+    merged = parts.groupBy("filepath").agg(
+        F.max("rated").alias("rated"),
         F.count("cc").alias("function_count"),
         mean_of(F.coalesce(F.sum("cc"), F.lit(0)), F.count("cc")).alias("mean_cc"),
         F.coalesce(F.max("cc"), F.lit(0)).alias("max_cc"),
         F.count_if(F.col("cc") > CC_LIMIT).alias("high_cc_count"),
-        F.sum("is_class").alias("class_count"),
+        F.count("is_class").alias("class_count"),
     )
+    return merged.select("filepath", "rated.mi", "rated.mi_rank", "function_count", "mean_cc", "max_cc", "high_cc_count", "class_count")
 
 
 def bind_methods(functions: DataFrame, classes: DataFrame, width: int = 4096) -> DataFrame:

@@ -29,7 +29,7 @@ class Prompts:
     """Prompt texts. Each has a plain stand-in, so a missing file never stops a run."""
 
     system: str = "You review Python classes for open/closed and substitution problems."
-    user: str = "Review this Python class for {candidate_type} problems.\nClass: {class_name}\nFile: {file_path}\n```python\n{source_code}\n```\n{findings}"
+    user: str = "{class_name} is defined in {file_path}:\n\n{source_code}\n\nWhat static rules say of it:\n{findings}\n\nName what speaks for and against a {candidate_type} problem."
     ocp: str = ""
     lsp: str = ""
     instruction: str = ""

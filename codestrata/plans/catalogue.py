@@ -14,7 +14,6 @@ from codestrata.plans.registry import RAW, part, query, ratio_sql, rounded
 from codestrata.plans.tables import Facts
 
 TOLERANCE = 0.1
-DEPTHS = [2]
 
 # ---------------------------------------------------------------- shared parts
 
@@ -36,7 +35,7 @@ part("items", """SELECT li.l_orderkey, li.l_suppkey, li.l_linenumber, li.l_retur
   JOIN nation nc ON nc.n_nationkey = c.c_nationkey JOIN nation ns ON ns.n_nationkey = s.s_nationkey""")
 part("pairs", "SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS n FROM items WHERE c_nationkey <> s_nationkey GROUP BY ALL")
 part("edges", """SELECT 'n' || a AS source, 'n' || b AS target FROM
-  (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM pairs) WHERE r <= 3""")
+  (SELECT p.a, p.b FROM pairs p LEFT JOIN pairs q ON q.a = p.b AND q.b = p.a WHERE p.n > coalesce(q.n, 0))""")
 part("lay", "SELECT 'n' || n_nationkey AS layer, n_regionkey AS tier FROM nation")
 part("deg", """SELECT layer, (SELECT count(*) FROM edges WHERE target = layer) AS ca, (SELECT count(*) FROM edges WHERE source = layer) AS ce FROM lay""")
 part("stab", f"SELECT layer, ca, ce, {ratio_sql('ce', 'ca + ce', 2)} AS instability FROM deg")
@@ -244,7 +243,7 @@ def _(f):
 @query("q_layer_edges", """SELECT DISTINCT 'n' || c_nationkey AS source, CASE WHEN s_acctbal < 0 THEN 'ext' || s_region ELSE 'n' || s_nationkey END AS target
   FROM items WHERE o_orderpriority <> '5-LOW' AND (s_acctbal < 0 OR c_nationkey <> s_nationkey)""")
 def _(f):
-    return layers.layer_edges(f.imports(), f.prefixes(), f.externals(), DEPTHS, [1], "app", ("tests",))
+    return layers.layer_edges(f.imports(), f.prefixes(), f.externals(), "app", ("tests",))
 
 
 @query("q_ignore_module", """SELECT o_orderpriority = '5-LOW' AS ignored, count(*) AS n FROM items GROUP BY 1""")
@@ -339,13 +338,13 @@ def counters(f: Facts) -> DataFrame:
 
 
 def broken(f: Facts) -> DataFrame:
-    return layers.resolve_broken_imports(f.contract_rows(), f.prefixes(), DEPTHS)
+    return layers.resolve_broken_imports(f.contract_rows(), f.prefixes())
 
 
 def dead(f: Facts) -> DataFrame:
     rate = round(callgraph.collision_rate(f.call_nodes(), f.colliding_calls()), 4)
     placed = relations.place_dead(relations.normal_dead(f.dead_names(), F.lit(rate)), classes(f))
-    return layers.resolve(placed, "module", f.prefixes(), DEPTHS, "longest").drop("module")
+    return layers.resolve(placed, "module", f.prefixes(), "longest").drop("module")
 
 
 @query("q_layer_counters", "SELECT layer, sdp_n AS sdp_violations, slp_n AS slp_violations, broken_n AS broken_imports FROM cnt")
@@ -412,19 +411,19 @@ part("wrst", """SELECT layer, max(lcom4) AS lcom4 FROM cls WHERE NOT excluded AN
 @query("q_unstable_layer", event_sql("UNSTABLE_COHESION_LAYER", "layer", "'error'", "strong", "cohesion+import_graph", "cnt JOIN wrst USING (layer) WHERE sdp_n > 0",
   layer="layer", lcom4="lcom4", instability="instability"))
 def _(f):
-    return flat(events.unstable_layer(counters(f), events.with_layer(classes(f), f.prefixes(), DEPTHS)))
+    return flat(events.unstable_layer(counters(f), events.with_layer(classes(f), f.prefixes())))
 
 
 @query("q_low_mi_layer", event_sql("LOW_MI_VIOLATING_LAYER", "filepath", "CASE WHEN rank = 'C' THEN 'error' ELSE 'warning' END", "strong", "radon+import_linter",
   "mif JOIN cnt USING (layer) WHERE rank IN ('B', 'C') AND broken_n > 0", filepath="filepath", layer="layer", mi="mi", rank="rank"))
 def _(f):
-    return flat(events.low_mi_layer(events.with_layer(files(f), f.prefixes(), DEPTHS), counters(f)))
+    return flat(events.low_mi_layer(events.with_layer(files(f), f.prefixes()), counters(f)))
 
 
 @query("q_low_cohesion_layer", event_sql("LOW_COHESION_CONTRACT_LAYER", "class_id", "CASE WHEN lcom4 >= 3 THEN 'error' ELSE 'warning' END", "strong", "cohesion+import_linter",
   "cls JOIN cnt USING (layer) WHERE NOT excluded AND lcom4 > 1 AND broken_n > 0", filepath="filepath", lineno="lineno", class_name="class_name", layer="layer", lcom4="lcom4"))
 def _(f):
-    return flat(events.low_cohesion_layer(events.with_layer(classes(f), f.prefixes(), DEPTHS), counters(f)))
+    return flat(events.low_cohesion_layer(events.with_layer(classes(f), f.prefixes()), counters(f)))
 
 
 def graph_violations(f: Facts) -> DataFrame:
@@ -671,7 +670,7 @@ def report(f: Facts) -> dict[str, DataFrame]:
     return build(
         f.spark,
         Sources(f.blocks(), f.mi_files(), f.cohesion_rows(), f.edges(), f.contract_rows(), contract_totals, nodes, calls, f.colliding_calls()),
-        Layering(f.layers().select("layer"), f.prefixes(), DEPTHS, f.tiers(), f.interfaces(), f.tiers().where("tier > 90"), f.exceptions(), TOLERANCE),
+        Layering(f.layers().select("layer"), f.prefixes(), f.tiers(), f.interfaces(), f.tiers().where("tier > 90"), f.exceptions(), TOLERANCE),
     )
 
 

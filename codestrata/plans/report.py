@@ -24,7 +24,6 @@ class Layering:
 
     layers: DataFrame
     prefixes: DataFrame
-    depths: list[int]
     tiers: DataFrame
     interfaces: DataFrame
     utility: DataFrame
@@ -38,7 +37,7 @@ class Layering:
         if config.external_layers and config.tier_rows():
             tiers = layers.with_external_tier(tiers, config.names(spark, list(config.external_layers)))
         return cls(
-            config.names(spark, names), config.prefixes(spark), config.depths(), tiers, config.names(spark, config.interface_layers),
+            config.names(spark, names), config.prefixes(spark), tiers, config.names(spark, config.interface_layers),
             config.names(spark, list(config.utility_layers)), config_table(spark, "source string, target string", config.exceptions), config.sdp_tolerance,
         )
 
@@ -88,16 +87,16 @@ def build(spark: SparkSession, given: Sources, around: Layering, limit: int = 1)
     functions = cut_lineage(relations.last_per_key(all_functions.withColumn("_at", -F.col("cc")), ["function_id"], "_at").drop("_at"))
     classes = cut_lineage(relations.last_per_key(all_classes.withColumn("_at", F.col("lineno")), ["class_id"], "_at").drop("_at"))
     edges = cut_lineage(use("edges"))
-    index = cut_lineage(events.with_layer(relations.file_index(all_functions, use("mi_files"), all_classes), around.prefixes, around.depths))
+    index = cut_lineage(events.with_layer(relations.file_index(all_functions, use("mi_files"), all_classes), around.prefixes))
     bound = cut_lineage(relations.bind_methods(functions, classes))
     full_functions = relations.cross_functions(functions, bound, classes, index)
     full_classes = cut_lineage(
-        events.with_layer(relations.cross_classes(classes, relations.method_stats(functions, bound), index), around.prefixes, around.depths)
+        events.with_layer(relations.cross_classes(classes, relations.method_stats(functions, bound), index), around.prefixes)
     )
 
     rated = layers.stability(around.layers, edges)
     rules = _rule_rows(edges, rated, around)
-    broken = layers.resolve_broken_imports(use("broken_imports"), around.prefixes, around.depths)
+    broken = layers.resolve_broken_imports(use("broken_imports"), around.prefixes)
     pairs = cut_lineage(layers.broken_pairs(broken))
     counted = cut_lineage(layers.attach_tier(layers.layer_counters(rated, rules, pairs), around.tiers, around.utility))
 
@@ -106,7 +105,7 @@ def build(spark: SparkSession, given: Sources, around: Layering, limit: int = 1)
     kinds = callgraph.classify_nodes(nodes, calls)
     rate = F.lit(round(callgraph.collision_rate(nodes, bad), 4))
     placed = relations.place_dead(relations.normal_dead(kinds.where("node_class = 'dead'").select("name"), rate), classes)
-    dead = cut_lineage(layers.resolve(placed, "module", around.prefixes, around.depths, "longest").drop("module"))
+    dead = cut_lineage(layers.resolve(placed, "module", around.prefixes, "longest").drop("module"))
 
     cycles = cut_lineage(layers.layer_cycles(edges))
     streams = [
@@ -249,7 +248,7 @@ def _import_graph(p: Project) -> None:
     external = p.config.externals(p.spark) if p.config.external_rows() else None
     p.sources.edges = cut_lineage(
         layers.layer_edges(
-            classfacts.import_graph(p.rows(), p.files()), p.config.prefixes(p.spark), external, p.config.depths(), p.config.external_depths(),
+            classfacts.import_graph(p.rows(), p.files()), p.config.prefixes(p.spark), external,
             p.package, p.config.ignore_dirs,
         )
     )

@@ -97,20 +97,17 @@ class Facts:
         return self.table("region").select(name.alias("layer"), name.alias("prefix"), F.col("r_regionkey").alias("ord"))
 
     def edges(self) -> DataFrame:
-        """Layer edges: the three supplier nations each customer nation buys from most."""
+        """Layer edges: a nation imports from those it buys more from than it sells to."""
         if self._edges is not None:
             return self._edges
         pairs = self.import_rows().where(F.col("c_nationkey") != F.col("s_nationkey")).groupBy("c_nationkey", "s_nationkey").agg(
             F.count(F.lit(1)).alias("n")
         )
-        # At most a few hundred pairs of nations: written once, so no rule repeats the joins behind them.
-        top = pairs.groupBy("c_nationkey").agg(
-            F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "s_nationkey"))), 1, 3).alias("top")
-        )
-        found = top.select("c_nationkey", F.explode("top").alias("t")).select(
-            F.concat(F.lit("n"), F.col("c_nationkey")).alias("source"), F.concat(F.lit("n"), F.col("t.s_nationkey")).alias("target")
-        )
-        self._edges = cut_lineage(found)
+        # A few hundred pairs of nations: written once, so no rule repeats the joins behind them.
+        pairs = cut_lineage(pairs.toDF("a", "b", "n"))
+        back = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n").alias("returned"))
+        found = pairs.join(back, ["a", "b"], "left").where(F.col("n") > F.coalesce("returned", F.lit(0)))
+        self._edges = cut_lineage(found.select(F.concat(F.lit("n"), "a").alias("source"), F.concat(F.lit("n"), "b").alias("target")))
         return self._edges
 
     def contract_rows(self) -> DataFrame:

@@ -12,8 +12,8 @@ from codestrata.sources.python_syntax import skeleton_text
 
 # Folders and files that the outputs leave out.
 SKELETON_SKIP = (
-    ".git", ".venv", "__pycache__", ".mypy_cache", ".pytest_cache", ".idea", ".vscode", ".solid-cache", ".grimp_cache",
-    ".tmp_heuristics_tests", "alembic", "build", "dist",
+    ".git", ".venv", "__pycache__", ".mypy_cache", ".pytest_cache", ".idea", ".vscode", ".grimp_cache",
+    "alembic", "build", "dist",
 )
 TREE_SKIP = tuple(n for n in SKELETON_SKIP if n != "alembic")
 TREE_SKIP_FILES = (".DS_Store",)
@@ -50,13 +50,14 @@ def skeleton_blocks(skeleton: DataFrame) -> DataFrame:
 
 
 def tree_lines(files: DataFrame) -> DataFrame:
-    """``(place, line)`` of an indented tree; ordering by ``place`` prints it.
+    """``(place, line)`` of an indented tree of ``files(path[, is_folder])``; ordering by ``place`` prints it.
 
     Folders come before files, names compare without case. An entry is the last
     of its folder when it equals the folder's largest sort key, so no folder's
     entries are ever collected.
     """
-    kept = files.select("path").where(
+    folder = F.col("is_folder") if "is_folder" in files.columns else F.lit(False)
+    kept = files.select("path", folder.alias("is_folder")).where(
         ~in_ignored_folder(F.col("path"), TREE_SKIP) & ~F.element_at(F.split("path", "/"), -1).isin(*TREE_SKIP_FILES)
     )
     parts = F.split("path", "/")
@@ -67,7 +68,7 @@ def tree_lines(files: DataFrame) -> DataFrame:
             F.array_join(F.slice(parts, F.lit(1), n - 1), "/").alias("folder"),
             F.transform(
                 F.slice(parts, F.lit(1), n),
-                lambda name, i: F.struct(((i + 1) == size).cast("int").alias("is_file"), F.lower(name).alias("low"), name.alias("name")),
+                lambda name, i: F.struct((((i + 1) == size) & ~F.col("is_folder")).cast("int").alias("is_file"), F.lower(name).alias("low"), name.alias("name")),
             ).alias("place"),
         ),
     )
@@ -101,7 +102,3 @@ def write_report(parts: dict[str, DataFrame], path: str) -> None:
     """
     for section, df in parts.items():
         df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{section}")
-
-
-def sorted_set(values: Column) -> Column:
-    return F.array_sort(F.array_distinct(values))

@@ -1,9 +1,8 @@
-import configparser
 
 import pytest
 from pyspark.sql import functions as F
 
-from codestrata.config import ProjectConfig, config_table, synced_contract_config
+from codestrata.config import ProjectConfig, config_table
 from codestrata.operators import layers
 
 TIERS = [("routers", 0), ("services", 1), ("infrastructure", 2), ("interfaces", 3), ("models", 4), ("db_libs", 5)]
@@ -36,7 +35,7 @@ def test_sdp(spark, source, target, i_source, i_target, more, count):
 
 def test_sdp_message_and_exception(spark):
     row = _sdp(spark, "routers", "services", 1.0, 0.8)[0]
-    assert row.severity == "error" and row.message.startswith("routers (I=1.0) depends on services (I=0.8)") and "margin: 0.2," in row.message
+    assert row.severity == "error" and row.message == "import from routers to services: instability 1.0 meets 0.8; the source is the less stable side by 0.2 where 0.0 is allowed"
     allowed = config_table(spark, "source string, target string", [("models", "db_libs")])
     assert _sdp(spark, "models", "db_libs", 1.0, 0.0, exceptions=allowed) == []
 
@@ -79,8 +78,8 @@ def test_tiers_flat_grouped_and_external(spark):
 def test_longest_and_first_prefix_differ(spark):
     rules = config_table(spark, "layer string, prefix string, ord int", [("wide", "app", 0), ("narrow", "app.api", 1), ("late", "app.api", 2)])
     modules = spark.createDataFrame([("app.api.x",), ("app.apix",), ("app",), ("other",)], "m string")
-    longest = {r.m: r.layer for r in layers.resolve(modules, "m", rules, [1, 2], "longest").collect()}
-    first = {r.m: r.layer for r in layers.resolve(modules, "m", rules, [1, 2], "first").collect()}
+    longest = {r.m: r.layer for r in layers.resolve(modules, "m", rules, "longest").collect()}
+    first = {r.m: r.layer for r in layers.resolve(modules, "m", rules, "first").collect()}
     assert longest == {"app.api.x": "late", "app.apix": "wide", "app": "wide", "other": None}
     assert first == {"app.api.x": "wide", "app.apix": "wide", "app": "wide", "other": None}
 
@@ -93,7 +92,7 @@ def test_edges_and_stability(spark):
         [("app.api.a", "app.core.b"), ("app.api.a", "app.api.c"), ("app.core.b", "sqlalchemy.orm"), ("app.tests.t", "app.core.b"), ("app.api.a", "app.tests.x"),
          ("other", "app.core"), ("app.api.a", "requests")], "importer string, imported string",
     )
-    edges = layers.layer_edges(imports, config.prefixes(spark), config.externals(spark), config.depths(), config.external_depths(), "app", ("tests",))
+    edges = layers.layer_edges(imports, config.prefixes(spark), config.externals(spark), "app", ("tests",))
     assert {tuple(r) for r in edges.collect()} == {("api", "core"), ("core", "db")}
     rated = {r.layer: (r.ca, r.ce, r.instability) for r in layers.stability(config.names(spark, ["api", "core", "util", "db"]), edges).collect()}
     assert rated == {"api": (0, 1, 1.0), "core": (1, 1, 0.5), "util": (0, 0, 0.0), "db": (1, 0, 0.0)}
@@ -114,17 +113,16 @@ def test_config_checks(tmp_path):
     assert ProjectConfig.read(str(path)).tier_rows() == [("x", 0), ("y", 0)]
 
 
-def test_contract_config_is_filled_in():
-    base = "[importlinter]\nroot_packages = old\n[importlinter:contract:1]\ntype = layers\nlayers = old\n[importlinter:contract:2]\ntype = forbidden\n"
-    text = synced_contract_config(base, ProjectConfig.of({"layers": {"a": 1, "b": 1}, "layer_order": ["b", "a"]}), "app")
-    ini = configparser.RawConfigParser()
-    ini.read_string(text)
-    assert ini.get("importlinter", "root_packages").split() == ["app"] and ini.get("importlinter", "unmatched_ignore_imports") == "warn"
-    assert ini.get("importlinter:contract:1", "layers").split() == ["b", "a"] and not ini.has_option("importlinter:contract:2", "layers")
-
-
 def test_utility_layers_have_no_tier(spark):
     tiers = config_table(spark, "layer string, tier int", [("a", 0), ("u", 1)])
     got = layers.attach_tier(tiers.select("layer"), tiers, tiers.where("layer = 'u'").select("layer"))
     assert {(r.layer, r.tier, r.is_utility) for r in got.collect()} == {("a", 0, False), ("u", None, True)}
     assert got.where(F.col("tier").isNull()).count() == 1
+
+
+def test_prefixes_of_any_depth(spark):
+    prefixes = config_table(spark, "layer string, prefix string, ord int", [("api", "app.api", 0), ("deep", "app.api.x.y", 1), ("top", "app", 2)])
+    names = spark.createDataFrame([("app.api.x.y.z",), ("app.api.x",), ("app.q",), ("other",)], "module string")
+    got = {r.module: r.layer for r in layers.resolve(names, "module", prefixes, "longest").collect()}
+    assert got == {"app.api.x.y.z": "deep", "app.api.x": "api", "app.q": "top", "other": None}
+    assert {r.layer for r in layers.resolve(names, "module", prefixes.limit(0), "first").collect()} == {None}
