@@ -221,7 +221,7 @@ _NAME_SQL = "(VALUES ('core', 'small', 0), ('ring', 'small.ring', 1), ('hot', 'r
 def _prefix_query(f: Facts, rule: str) -> DataFrame:
     rules = config_table(f.spark, "layer string, prefix string, ord int", _NAMES)
     modules = f.table("part").select("p_partkey", F.translate("p_name", " ", ".").alias("module"))
-    return layers.resolve(modules, "module", rules, [1, 2], rule).select("p_partkey", "module", "layer")
+    return layers.resolve(modules, "module", rules, rule).select("p_partkey", "module", "layer")
 
 
 def _prefix_sql(order: str) -> str:
