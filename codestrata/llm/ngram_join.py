@@ -20,9 +20,11 @@ only blocks still shared by several components are compared further, chunk again
 chunk, across components, emitting pairs that pass the Hamming bound.
 
 Defined results: texts without words and null texts have no shingles, link with nothing
-and are their own component; fewer words than a shingle are one shingle; a row without
-an id keeps its set size and has a null component; rows that repeat an id count as one
-node; equal sets always link; an empty table gives no rows; other columns are not read.
+and are
+their own component; fewer words than a shingle are one shingle; a row without an id
+keeps its set size and has a null component; equal sets always link, whatever their ids;
+rows that repeat an id with another text are not linked by that; an empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,13 +32,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm import words as W
+from codestrata.llm.bitmaps import bitmap, possible
 from codestrata.operators.graph import connected_components
 from codestrata.session import Scratch
 
@@ -63,13 +65,14 @@ def components(docs: DataFrame, id: str = "doc_id", text: str = "text", width: i
             blocks.repartition("route").sortWithinPartitions("token", "node").mapInArrow(_agreeing, "token long, a long, b long")
         )
         pairs = found.where("b is not null").select("a", "b")
-        links = scratch.keep(_verified(scratch, rows, _close(pairs, nodes), width))
+        links = scratch.keep(_verified(scratch, rows, _close(pairs, nodes), nodes, width))
         joined = scratch.keep(connected_components(links))
         more = _across(scratch, found.where("b is null").select("token", F.col("a").alias("node")), nodes, joined)
         if more is not None:
-            extra = scratch.keep(_verified(scratch, rows, more, width))
+            extra = scratch.keep(_verified(scratch, rows, more, nodes, width))
             joined = scratch.keep(connected_components(links.unionByName(extra)))
-        named = nodes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
+        placed = nodes.select("hi", "lo", "rep").join(joined.withColumnRenamed("node", "lo"), "lo", "left").withColumn("component", F.coalesce("component", "lo"))
+        named = placed.join(placed.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("hi", "lo", "component_id")
         result = facts.drop("sketch").join(named, ["hi", "lo"], "left").select(
             F.col("id").alias(id), F.col("n").alias("n_shingles"),
             F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
@@ -119,7 +122,10 @@ def sketch(shingles: np.ndarray) -> bytes:
 
 def hamming(a: bytes, b: bytes) -> int:
     """Distance of two sketches; the longer one is folded, which keeps it a parity sketch."""
-    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    return _distance(np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64))
+
+
+def _distance(x: np.ndarray, y: np.ndarray) -> int:
     n = min(x.size, y.size)
     return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, n)) ^ np.bitwise_xor.reduce(y.reshape(-1, n))).sum())
 
@@ -274,25 +280,27 @@ def _runs(token: np.ndarray, node: np.ndarray, flag: np.ndarray, other: np.ndarr
 
 
 def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of representatives whose sketches are no further apart than linked sets may be."""
-    side = lambda s: nodes.select(F.col("lo").alias(s), F.col("rep").alias(f"rep_{s}"), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"))
-    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where("rep_a <> rep_b")
-    fitting = both.where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)").select("rep_a", "rep_b", "n_a", "n_b", "s_a", "s_b")
+    """Pairs of nodes whose sketches are no further apart than linked sets may be."""
+    side = lambda s: nodes.select(F.col("lo").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"))
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    fitting = both.where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)").select("a", "b", "n_a", "n_b", "s_a", "s_b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_a, n_b, s_a, s_b = (batch.column(k).to_pylist() for k in range(2, 6))
             near = [hamming(x, y) <= most_differing(a, b) for a, b, x, y in zip(n_a, n_b, s_a, s_b, strict=True)]
-            yield batch.select(["rep_a", "rep_b"]).filter(pa.array(near, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return fitting.mapInArrow(run, "rep_a long, rep_b long").select(F.least("rep_a", "rep_b").alias("u"), F.greatest("rep_a", "rep_b").alias("v")).distinct()
+    return fitting.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
-def _verified(scratch: Scratch, rows: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+def _verified(scratch: Scratch, rows: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """The pairs ``(u, v)`` whose whole shingle sets are similar enough."""
     pairs = scratch.keep(pairs)
-    wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    held = scratch.keep(rows.join(wanted, "id", "left_semi").distinct())
+    ends = pairs.select(F.col("u").alias("lo")).unionByName(pairs.select(F.col("v").alias("lo"))).distinct()
+    wanted = scratch.keep(nodes.select("lo", F.col("rep").alias("id")).join(ends, "lo"))
+    found = possible(rows, "id", bitmap(wanted, "id")).join(wanted, "id").select("lo", "text")
+    held = scratch.keep(found.mapInArrow(_of_node(width), "node long, text string").dropDuplicates(["node"]))
     both = pairs.join(held.toDF("u", "text_u"), "u").join(held.toDF("v", "text_v"), "v").select("u", "v", "text_u", "text_v")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,12 +317,23 @@ def _verified(scratch: Scratch, rows: DataFrame, pairs: DataFrame, width: int) -
     return both.mapInArrow(run, "u long, v long").distinct()
 
 
+def _of_node(width: int):
+    """Texts that have the node's set; an id may stand on other rows too."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = W.Hasher()
+        for batch in batches:
+            made = [W.shingle_hashes(hasher(W.lower_ascii(data or b"").split()), width) for data in W.texts(batch.column("text"))]
+            keys = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[1] for s in made], dtype=np.int64)
+            same = pa.array(keys == batch.column("lo").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("lo"), batch.column("text")], names=["node", "text"]).filter(same)
+
+    return run
+
+
 def _across(scratch: Scratch, members: DataFrame, nodes: DataFrame, joined: DataFrame) -> DataFrame | None:
     """Close pairs between components that still share a block; None if no block is shared any more."""
-    placed = (
-        members.distinct().join(nodes.select(F.col("lo").alias("node"), "rep", "n", "sketch"), "node")
-        .join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    )
+    placed = members.distinct().join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = scratch.keep(placed)
     open_ = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
     open_ = scratch.keep(open_.select("token", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")))
@@ -322,28 +341,49 @@ def _across(scratch: Scratch, members: DataFrame, nodes: DataFrame, joined: Data
         return None
     rows = placed.join(open_, "token").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("token", F.least("chunk", "with").alias("c1"), F.greatest("chunk", "with").alias("c2"), "chunk", "rep", "component", "n", "sketch")
-    return rows.groupBy("token", "c1", "c2").applyInPandas(_compared, "u long, v long").distinct()
-
-
-def _compared(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs between two chunks of one block, across components and within the bounds."""
-    group = group.sort_values("n", kind="stable")
-    c1, c2 = int(group["c1"].iloc[0]), int(group["c2"].iloc[0])
-    n, rep, comp, chunk = (group[c].to_numpy() for c in ("n", "rep", "component", "chunk"))
-    marks = [np.frombuffer(s, dtype=np.uint64) for s in group["sketch"]]
-    words = min(m.size for m in marks)
-    folded = np.stack([np.bitwise_xor.reduce(m.reshape(-1, words)) for m in marks])
-    out = []
-    for i in range(len(group) - 1):
-        end = np.searchsorted(n, 100 * n[i] // PERCENT, side="right")
-        later = slice(i + 1, end)
-        apart = comp[later] != comp[i]
-        if c1 != c2:
-            apart &= chunk[later] != chunk[i]
-        if not apart.any():
+    # Sketches come last, so only rows of blocks that are still open carry them.
+    rows = rows.join(nodes.select(F.col("lo").alias("node"), "n", "sketch").dropDuplicates(["node"]), "node")
+    rows = rows.select("token", F.least("chunk", "with").alias("c1"), F.greatest("chunk", "with").alias("c2"), "chunk", "node", "component", "n", "sketch")
+    together = rows.repartition("token", "c1", "c2").sortWithinPartitions("token", "c1", "c2")
+    return together.mapInArrow(_compared, "u long, v long").distinct()
+
+
+def _compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of (block, two chunks) to close pairs between the chunks and across components.
+
+    A group is at most two chunks of rows, so the one that crosses two batches is kept whole.
+    """
+    rest = None
+    for batch in batches:
+        table = batch if rest is None else pa.concat_batches([rest, batch])
+        keys = np.stack([table.column(k).to_numpy() for k in range(3)])
+        starts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)])) if table.num_rows else np.zeros(0, np.int64)
+        if not starts.size:
+            continue
+        yield _close_in(table, starts)
+        rest = table.slice(int(starts[-1]))
+    if rest is not None:
+        yield _close_in(rest, np.array([0, rest.num_rows]))
+
+
+def _close_in(table: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+    c1, c2, chunk, node, comp, n = (table.column(k).to_numpy() for k in range(1, 7))
+    found = []
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        size, group = n[a:b], comp[a:b]
+        i, j = np.triu_indices(b - a, 1)
+        fits = (group[i] != group[j]) & (100 * np.minimum(size[i], size[j]) >= PERCENT * np.maximum(size[i], size[j]))
+        if c1[a] != c2[a]:
+            fits &= chunk[a:b][i] != chunk[a:b][j]
+        i, j = i[fits], j[fits]
+        if not i.size:
             continue
-        distance = np.bitwise_count(folded[later] ^ folded[i]).sum(1)
-        close = np.flatnonzero(apart & (distance <= (100 - PERCENT) * (n[later] + n[i]) // (100 + PERCENT)))
-        out += [(min(rep[i], rep[i + 1 + j]), max(rep[i], rep[i + 1 + j])) for j in close if hamming(group["sketch"].iloc[i], group["sketch"].iloc[i + 1 + j]) <= most_differing(n[i], n[i + 1 + j])]
-    return pd.DataFrame(out, columns=["u", "v"]).drop_duplicates()
+        marks = [np.frombuffer(s, dtype=np.uint64) for s in table.column(7).slice(a, b - a).to_pylist()]
+        words = min(m.size for m in marks)
+        folded = np.stack([np.bitwise_xor.reduce(m.reshape(-1, words)) for m in marks])
+        most = (100 - PERCENT) * (size[i] + size[j]) // (100 + PERCENT)
+        # The short sketches first, in slabs of bounded size, then the whole ones of what is left.
+        near = np.concatenate([np.bitwise_count(folded[i[k : k + 20_000]] ^ folded[j[k : k + 20_000]]).sum(1) for k in range(0, i.size, 20_000)]) <= most
+        found += [(node[a + x], node[a + y]) for x, y, m in zip(i[near], j[near], most[near]) if _distance(marks[x], marks[y]) <= m]
+    pairs = np.unique(np.sort(np.array(found, dtype=np.int64).reshape(-1, 2), axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])

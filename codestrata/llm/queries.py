@@ -103,7 +103,7 @@ SELECT page_id, n::BIGINT AS payload_bytes,
 @query("op7_warc", WARC_SQL)
 def archived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as scratch:
-        records = warc.with_originals(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+        records = warc.with_originals(scratch, table(spark, sf_dir, "pages"), "page_id", "url", "html")
         packages = scratch.keep(warc.write_packages(records, scratch.path("packages")))
         read = warc.read_records(scratch.keep(warc.record_places(packages)), payloads=False)
         return scratch.result(read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"))

@@ -3,8 +3,10 @@
 A window is ``width`` consecutive words. Its minimiser is the run of ``seed`` words in
 it with the smallest hash. Consecutive windows that share a minimiser travel together as
 one packed string to the minimiser's bucket; equal windows have equal minimisers, so
-they meet there, and sorting window hashes counts them. Windows of one bucket are equal
-if their 64-bit hashes are, beside the 64-bit hash of the minimiser.
+they meet there, and sorting window hashes counts them. A packed string holds 40 bits for
+each word. Windows count as equal if these, and the minimiser's 64-bit hash, give the
+same 64-bit hash: of a million million pairs of windows that differ in one word, one is
+taken for equal.
 
 Tasks count within their own block of texts first: a window that occurs twice there is
 marked at once, and only its first occurrence is sent on. However often a passage
@@ -29,12 +31,13 @@ from codestrata.llm import words as W
 from codestrata.session import Scratch
 
 WIDTH = 35
-SEED = 8
+SEED = 5
 # Windows in one packed string at most, so a monotonous text is many strings.
 PACKED = 64
+CODE = 5  # bytes of a word in a packed string
 # Bytes of text counted together before anything is sent, and bytes of strings sorted together.
 BLOCK = 24_000_000
-BUCKETS = 8_000_000
+BUCKETS = 16_000_000
 
 
 def cleaned(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
@@ -43,7 +46,7 @@ def cleaned(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int
     with Scratch(docs.sparkSession) as scratch:
         sent = rows.where(F.col("text").isNotNull()).select("key", "text").mapInArrow(_super_kmers(width, seed), "route long, seed long, packed binary, key long, start int, windows int, flag boolean")
         marks = scratch.keep(sent.repartition("route").sortWithinPartitions("seed").mapInArrow(_repeated(width), "key long, start int, stop int"))
-        spans = marks.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+        spans = scratch.keep(marks.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
         joined = rows.join(spans, "key", "left").select("id", "text", "spans.start", "spans.stop")
         return scratch.result(joined.mapInArrow(_kept, f"id {docs.schema[id].dataType.simpleString()}, text string, n_words long, n_removed long").withColumnRenamed("id", id))
 
@@ -62,30 +65,31 @@ def window_minima(hashes: np.ndarray, width: int) -> np.ndarray:
 def _super_kmers(width: int, seed: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = W.Hasher()
-        held: list[tuple[int, bytes]] = []
+        held: list[tuple[int, np.ndarray]] = []
         size = 0
         for batch in batches:
             for key, data in zip(batch.column("key").to_pylist(), W.texts(batch.column("text")), strict=True):
-                held.append((key, data))
+                held.append((key, hasher(data.split())))
                 size += len(data)
                 if size >= BLOCK:
-                    yield from _block(held, hasher, width, seed)
+                    yield from _block(held, width, seed)
                     held, size = [], 0
         if held:
-            yield from _block(held, hasher, width, seed)
+            yield from _block(held, width, seed)
 
     return run
 
 
-def _block(held: list[tuple[int, bytes]], hasher: W.Hasher, width: int, seed: int) -> Iterator[pa.RecordBatch]:
-    keys, sizes, windows, minima = [], [], [], []
-    for key, data in held:
-        h = hasher(data.split())
+def _block(held: list[tuple[int, np.ndarray]], width: int, seed: int) -> Iterator[pa.RecordBatch]:
+    keys, sizes, windows, minima, codes = [], [], [], [], []
+    for key, h in held:
         if h.size >= width:
             keys.append(key)
             sizes.append(h.size - width + 1)
             windows.append(W.window_hashes(h, width))
-            minima.append(window_minima(W.window_hashes(h, seed), width - seed + 1))
+            minima.append(W.window_hashes(h, seed))
+            minima[-1] = window_minima(minima[-1], width - seed + 1)
+            codes.append(h.view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes())
     if not keys:
         return
     count, total = np.array(sizes), int(sum(sizes))
@@ -113,14 +117,8 @@ def _block(held: list[tuple[int, bytes]], hasher: W.Hasher, width: int, seed: in
     ends = np.append(starts[1:], total)
     some = first[starts]
     starts, ends = starts[some], ends[some]
-    texts = iter(held)
-    packed: list[bytes] = []
-    n, current = -1, []
-    for d, a, b in zip(doc[starts].tolist(), at[starts].tolist(), (ends - starts).tolist(), strict=True):
-        while n < d:
-            current = next(texts)[1].split()
-            n += len(current) >= width
-        packed.append(b" ".join(current[a : a + b + width - 1]))
+    cuts = zip(doc[starts].tolist(), (at[starts] * CODE).tolist(), ((at[starts] + ends - starts + width - 1) * CODE).tolist(), strict=True)
+    packed = [codes[d][a:b] for d, a, b in cuts]
     for k in range(0, starts.size, 20_000):
         cut = slice(k, k + 20_000)
         s = starts[cut]
@@ -146,7 +144,6 @@ def _repeated(width: int):
     """Buckets, sorted by minimiser, to marked word ranges."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = W.Hasher()
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
@@ -162,30 +159,31 @@ def _repeated(width: int):
                 # A bucket ends where the minimiser changes; all before that place is complete.
                 cut = int(np.argmax(seeds != held[-1].column("seed")[-1].as_py())) if seeds[-1] != held[-1].column("seed")[-1].as_py() else 0
                 if seeds[0] != held[-1].column("seed")[-1].as_py() or cut:
-                    yield from _counted([*held, batch.slice(0, cut)], hasher, width)
+                    yield from _counted([*held, batch.slice(0, cut)], width)
                     batch, held, size = batch.slice(cut), [], 0
             held.append(batch)
             size += batch.nbytes
         if held:
-            yield from _counted(held, hasher, width)
+            yield from _counted(held, width)
 
     return run
 
 
-def _counted(held: list[pa.RecordBatch], hasher: W.Hasher, width: int) -> Iterator[pa.RecordBatch]:
+def _counted(held: list[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     seed, key, start, count, flag = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("seed", "key", "start", "windows", "flag"))
-    parts: list[np.ndarray] = []
-    for batch in held:
-        for strings in (batch.column("packed").slice(k, 2000).to_pylist() for k in range(0, batch.num_rows, 2000)):
-            split = [p.split(b" ") for p in strings]
-            sizes = np.array(list(map(len, split)))
-            every = W.window_hashes(hasher([w for ws in split for w in ws]), width)
-            ends = np.cumsum(sizes)
-            # Windows over two strings are left out.
-            valid = np.ones(int(ends[-1]), bool)
-            for gap in range(1, width):
-                valid[ends - gap] = False
-            parts.append(every[valid[: every.size]])
+    parts = []
+    for packed in (b.column("packed") for b in held if b.num_rows):
+        offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+        data = np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, CODE)
+        words = np.zeros((data.shape[0], 8), np.uint8)
+        words[:, :CODE] = data
+        every = W.window_hashes(W.mix(words.view(np.uint64).ravel()), width)
+        # Windows over two strings are left out.
+        valid = np.ones(data.shape[0], bool)
+        ends = (offsets[1:] - offsets[0]) // CODE
+        for gap in range(1, width):
+            valid[ends - gap] = False
+        parts.append(every[valid[: every.size]])
     row = np.repeat(np.arange(seed.size), count)
     offset = np.arange(row.size) - np.repeat(np.cumsum(count) - count, count)
     window = np.concatenate(parts) ^ W.mix(seed[row].view(np.uint64))

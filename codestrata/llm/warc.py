@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm import stores, zips
+from codestrata.llm.bitmaps import bitmap, flagged
+from codestrata.session import Scratch
 
 ARCHIVE_BYTES = 64_000_000
 RANGE_BYTES = 4_000_000
@@ -37,16 +39,20 @@ PLACES = "path string, start long, size long"
 RECORDS = "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def with_originals(pages: DataFrame, id: str, url: str, payload: str, least: int = 0) -> DataFrame:
-    """``(id, url, payload, original)``: the smallest id with the same payload, null for short payloads.
+def with_originals(scratch: Scratch, pages: DataFrame, id: str, url: str, payload: str, least: int = 0) -> DataFrame:
+    """``(id, url, payload, original)``: the smallest id with the same payload, null for a short payload.
 
-    Digests and sizes are grouped, with partial sums per task; payloads move once, to their group's row.
+    Digests and sizes are grouped, with partial sums per task. Only payloads that may occur more than
+    once, by a bitmap of fixed size, move to meet their group's row; the others are originals.
     """
     body = F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("length", F.octet_length("payload"))
-    groups = rows.where(F.col("length") >= least).groupBy("digest", "length").agg(F.min("id").alias("original"))
-    return rows.join(groups, ["digest", "length"], "left").select("id", "url", "payload", "original")
+    groups = rows.groupBy("digest", "length").agg(F.min("id").alias("original"), F.count("*").alias("copies"))
+    groups = scratch.keep(groups.where((F.col("copies") > 1) & (F.col("length") >= least)).drop("copies"))
+    marked = flagged(rows, "digest", bitmap(groups, "digest"), "shared")
+    joined = marked.where("shared").join(groups, ["digest", "length"], "left").withColumn("original", F.coalesce("original", "id"))
+    return marked.where("not shared").withColumn("original", F.col("id")).unionByName(joined).select("id", "url", "payload", "original")
 
 
 def write_packages(records: DataFrame, folder: str, limit: int = ARCHIVE_BYTES) -> DataFrame:

@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP = 0x9E3779B97F4A7C15
+STEP = np.uint64(_STEP)
 # A task forgets its words at this many entries, which bounds its memory and changes no result.
 VOCABULARY = 300_000
 # Bytes of text handled as one block of arrays. A longer text is a block of its own.
@@ -59,14 +60,23 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """One hash for each run of ``width`` words, in order; empty if there are fewer."""
+    """One hash for each run of ``width`` words, in order; empty if there are fewer.
+
+    A polynomial in the word hashes. That of ``a + b`` words follows from those of ``a`` and of ``b``,
+    so the powers of two that make up the width are enough.
+    """
     n = len(hashes) - width + 1
     if n <= 0:
         return hashes[:0]
-    total = hashes[:n].copy()
-    for k in range(1, width):
-        total = mix(total * STEP + hashes[k : k + n])
-    return mix(total + np.uint64(width))
+    part, size, total, done = hashes, 1, None, 0
+    while True:
+        if width & size:
+            total = part[done : done + n] if total is None else total * np.uint64(pow(_STEP, size, 1 << 64)) + part[done : done + n]
+            done += size
+        if done == width:
+            return mix(total + np.uint64(width))
+        part = part[:-size] * np.uint64(pow(_STEP, size, 1 << 64)) + part[size:]
+        size *= 2
 
 
 def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
