@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
 
@@ -24,7 +25,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     session = spark or SparkSession.builder.appName("codestrata").getOrCreate()
     root = f"{args.target_dir.rstrip('/')}/{config.package_root}" if config.package_root else args.target_dir
     project = Project(session, root, config, dict(r.split("=", 1) for r in args.report), not args.contracts_failed)
-    sections = run(project)
+    sections = run(project, datetime.now(tz=timezone.utc).isoformat())
     for name, reason in project.sources.errors.items():
         log.warning("source %s gave nothing: %s", name, reason)
     status, reason = review_status(config, project.candidates)

@@ -127,7 +127,7 @@ def build(spark: SparkSession, given: Sources, around: Layering, limit: int = 1)
         "violations": events.in_report_order(violations),
         "violation_imports": broken.select("from_layer", "to_layer", "contract_name", "importer", "imported"),
         "dead_code": dead.orderBy("qualified_name"),
-        "call_edges": calls,
+        "call_edges": calls.orderBy("source", "target"),
         "summary_complexity": summaries.complexity_summary(functions),
         "summary_maintainability": summaries.maintainability_summary(index.withColumnRenamed("mi_rank", "rank")),
         "summary_ranks": summaries.rank_distribution(functions).withColumn("metric", F.lit("cc")).unionByName(
@@ -288,8 +288,11 @@ def _rules(p: Project) -> None:
     p.candidates = heuristics.candidates(project, found)
 
 
-def run(project: Project) -> dict[str, DataFrame]:
-    """Run every analyzer, keep the failures apart, and build the report."""
+def run(project: Project, generated_at: str | None = None) -> dict[str, DataFrame]:
+    """Run every analyzer, keep the failures apart, and build the report.
+
+    ``generated_at`` is the caller's time, so that equal inputs give equal reports.
+    """
     for name, step in ANALYZERS.items():
         try:
             step(project)
@@ -298,5 +301,29 @@ def run(project: Project) -> dict[str, DataFrame]:
     report = build(project.spark, project.sources, Layering.of(project.spark, project.config), project.config.cohesion_threshold)
     if project.findings is not None:
         report["findings"] = project.findings
-        report["candidates"] = project.candidates
-    return report
+        report["candidates"] = project.candidates.orderBy(F.col("priority").desc(), *[c for c in ("path", "class_name") if c in project.candidates.columns])
+    return report | _notes(project, report, generated_at)
+
+
+def _notes(project: Project, report: dict[str, DataFrame], generated_at: str | None) -> dict[str, DataFrame]:
+    """Facts about the run, orders that readers start from, and what went wrong inside a source."""
+    spark, given = project.spark, project.sources
+    facts = (generated_at, "parameters" in project.reports and given.blocks is not None, project.config == ProjectConfig())
+    notes = {
+        "run": config_table(spark, "generated_at string, parameters_used boolean, config_defaults_used boolean", [facts]),
+        "functions_by_complexity": report["functions"].select("function_id", "cc").orderBy(F.col("cc").desc(), "function_id"),
+        "files_by_maintainability": report["files"].where("mi is not null").select("filepath", "mi").orderBy("mi", "filepath"),
+    }
+    if given.call_nodes is not None and given.call_edges is not None:
+        roles = callgraph.classify_nodes(given.call_nodes, given.call_edges)
+        rate = callgraph.collisions(given.call_nodes, given.suspicious)
+        warned = callgraph.collision_status(F.col("rate"), project.config.collision_limit)
+        notes["call_roots"] = roles.where("node_class = 'root'").select("name").orderBy("name")
+        notes["suspicious_blocks"] = given.suspicious.orderBy(given.suspicious.columns[0])
+        notes["call_warnings"] = rate.select(warned.alias("collision_status"), callgraph.parse_warning(given.call_nodes, given.call_edges).alias("nodes_without_edges"))
+    if project._rows is not None:
+        broken = project.rows().where("kind = 'error'").select("path", F.concat_ws(": ", "name", "text").alias("error"))
+        unread = project.files().where("error is not null").select("path", "error")
+        notes["file_errors"] = broken.unionByName(unread).orderBy("path")
+        notes["name_collisions"] = classfacts.name_collisions(classfacts.class_facts(project.rows(), project.methods())).orderBy("class_name")
+    return notes

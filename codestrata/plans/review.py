@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,9 @@ def read_cache(df: DataFrame, folder: str) -> DataFrame | None:
     spark = df.sparkSession
     try:
         return spark.read.schema(CACHE_SCHEMA).parquet(folder)
-    except Exception:  # noqa: BLE001  an unreadable cache only costs calls
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise  # an unreadable cache would be paid for a second time
         return None
 
 

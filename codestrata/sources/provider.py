@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import http.client
 import json
 import time
 import urllib.error
@@ -50,7 +51,10 @@ def checked_transport(settings: dict, environment: dict[str, str]) -> HttpTransp
 
 
 def send_all(requests: DataFrame, transport: Transport, waits: tuple[float, ...] = RETRY_WAITS) -> DataFrame:
-    """``(key, payload)`` -> ``(key, http_status, body, attempts, failure)``, one service call per row."""
+    """``(key, payload)`` -> ``(key, http_status, body, attempts, failure)``, one service call per row.
+
+    Calls happen at least once: a task that Spark repeats sends, and pays, again.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -69,7 +73,7 @@ def send(payload: str, transport: Transport, waits: tuple[float, ...] = RETRY_WA
         try:
             status, body = transport(payload)
             failure = None
-        except OSError as exc:
+        except (OSError, http.client.HTTPException) as exc:
             status, body, failure = None, None, f"{type(exc).__name__}: {exc}"
         if status is not None and status not in RETRYABLE:
             break

@@ -110,4 +110,4 @@ def test_prompt_puts_text_in_once(spark, tmp_path):
 def test_unknown_field_falls_back(spark):
     df = spark.createDataFrame([{"class_name": "C", "file_path": "p", "source_code": "s", "findings": "F", "candidate_type": "ocp"}])
     text = requests.with_prompt(df, requests.Prompts(user="{nope}")).first().user_text
-    assert "Class: C" in text and "```python\ns\n```" in text
+    assert text.startswith("C is defined in p:") and "\n\ns\n\n" in text and "F" in text

@@ -83,6 +83,21 @@ def test_whole_project(done):
     assert all(r.succeeded for r in report["meta"].collect())
 
 
+def test_notes_on_the_run(spark, tree, done):
+    project, report = done
+    assert tuple(report["run"].first()) == (None, "parameters" in project.reports, False)
+    assert {r.name for r in report["call_roots"].collect()} == {"app.api.views.View.run"}
+    assert report["call_warnings"].first().collision_status == "ok" and not report["call_warnings"].first().nodes_without_edges
+    errors = {r.path: r.error for r in report["file_errors"].collect()}
+    assert errors["app/latin.py"] == "not utf-8" and errors["app/bad.py"].startswith("SyntaxError")
+    worst = [r.cc for r in report["functions_by_complexity"].collect()]
+    assert worst == sorted(worst, reverse=True) and len(worst) == report["functions"].count()
+    assert report["files_by_maintainability"].first().filepath == "app/svc/work.py"
+    assert report["name_collisions"].count() == 0 == report["suspicious_blocks"].count()
+    scanned = {r.path for r in project.files().collect()}
+    assert {"app/" + name for name in FILES if "tests/" not in name} <= scanned
+
+
 def test_missing_sources_are_named_and_the_rest_goes_on(spark, tree):
     project = Project(spark, str(tree / "app"), ProjectConfig.read(str(tree / "config.json")))
     report = run(project)
