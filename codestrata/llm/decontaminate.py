@@ -1,16 +1,14 @@
-"""Benchmark items found inside documents: size-partitioned MinHash, verified exactly.
+"""Benchmark items found inside documents: exact prefix filter, verified exactly.
 
-Sets of word shingles, A-Z lower-cased, are partitioned by size. A document of n shingles gets a one-
-permutation MinHash of ``2**k`` bins with at least two bins per shingle, and an item
-gets one for every partition. A shared shingle gives an equal bin value unless a smaller
-hash of the document is in the same bin, which at this ratio it is for at most a fifth
-of them. So the miss of a contained item of 8 shared shingles is below 1 in 300,000,
-for a document of any length: the bins grow with the document and their values are the
-band keys. Candidates are verified on whole shingle sets: an item is found where at
-least 75 % of its shingles occur.
+Sets of word shingles, A-Z lower-cased, are compared. An item of n shingles is found where
+at least 75 % of them occur, so a document that contains it lacks at most n / 4: of any
+n - ceil(3 n / 4) + 1 of its shingles at least one occurs there. Those with the smallest
+mixed hashes are the item's keys. A document probes all its shingles, so every pair that
+fits is a candidate, whatever the size of item and document. Candidates are verified on
+whole shingle sets.
 
-What travels to all tasks is one bitmap of fixed size over the items' bin values. It
-only drops document values that no item has; the values left are joined by Spark.
+What travels to all tasks is one bitmap of fixed size over the items' keys. It only drops
+shingles that are no key; those left are joined by Spark.
 
 Defined results: items or documents without words match nothing; fewer words than a
 shingle are one shingle; null ids and repeated rows are matched row by row and reported
@@ -31,8 +29,6 @@ from codestrata.session import Scratch
 
 SHINGLE = 5
 PERCENT = 75
-# Sizes of the partitions are powers of two up to this, which no text in memory exceeds.
-LARGEST = 31
 BITMAP_BITS = 1 << 23
 
 
@@ -42,9 +38,9 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id:
     wanted = items.select(F.col(item_id).alias("i"), F.col(text).cast("string").alias("text")).where("i is not null and text is not null")
     kind = {"d": docs.schema[doc_id].dataType.simpleString(), "i": items.schema[item_id].dataType.simpleString()}
     with Scratch(docs.sparkSession) as scratch:
-        named = scratch.keep(wanted.mapInArrow(_item_bins(width), f"i {kind['i']}, value long"))
+        named = scratch.keep(wanted.mapInArrow(_item_keys(width), f"i {kind['i']}, value long"))
         bitmap = _bitmap(named)
-        found = rows.mapInArrow(_doc_bins(width, bitmap), f"d {kind['d']}, value long")
+        found = rows.mapInArrow(_doc_keys(width, bitmap), f"d {kind['d']}, value long")
         pairs = scratch.keep(found.join(named, "value").select("i", "d").distinct())
         held = scratch.keep(rows.join(pairs.select("d").distinct(), "d", "left_semi"))
         both = pairs.join(held.withColumnRenamed("text", "whole"), "d").join(wanted, "i").select("i", "d", "whole", "text")
@@ -59,26 +55,17 @@ def keep_clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     return docs.join(found, docs[doc_id] == F.col("_found"), "left_anti")
 
 
-def bins(shingles: np.ndarray, power: int) -> np.ndarray:
-    """The least hash in each of ``2**power`` bins, mixed with the power so that partitions do not meet.
-
-    Bins are ranges of the sorted hashes, so each bin's least is the first of its run.
-    """
-    place = shingles >> np.uint64(64 - power)
-    first = np.concatenate([[True], place[1:] != place[:-1]]) if shingles.size else np.zeros(0, bool)
-    return W.mix(shingles[first] ^ W.mix(np.array([power], dtype=np.uint64)))
-
-
-def power_of(n: int) -> int:
-    """The partition of a set of n shingles: at least two bins for each."""
-    return max(4, (2 * n - 1).bit_length())
+def keys(shingles: np.ndarray) -> np.ndarray:
+    """So many of an item's shingles that a document with the required share of them has one at least."""
+    lacking = shingles.size * (100 - PERCENT) // 100
+    return shingles[np.argsort(W.mix(shingles))[: lacking + 1]]
 
 
 def _shingles(hasher: W.Hasher, data: bytes | None, width: int) -> np.ndarray:
     return W.shingle_hashes(hasher(W.lower_ascii(data or b"").split()), width)
 
 
-def _item_bins(width: int):
+def _item_keys(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = W.Hasher()
         for batch in batches:
@@ -86,7 +73,7 @@ def _item_bins(width: int):
             for at, data in enumerate(W.texts(batch.column("text"))):
                 shingles = _shingles(hasher, data, width)
                 if shingles.size:
-                    made = np.unique(np.concatenate([bins(shingles, p) for p in range(4, LARGEST + 1)]))
+                    made = keys(shingles)
                     rows.append(np.full(made.size, at))
                     values.append(made)
             if rows:
@@ -96,7 +83,7 @@ def _item_bins(width: int):
 
 
 def _bitmap(named: DataFrame) -> np.ndarray:
-    """Which of ``BITMAP_BITS`` places the items' values fall on: words of 64 bits, made by a grouping."""
+    """Which of ``BITMAP_BITS`` places the items' keys fall on: words of 64 bits, made by a grouping."""
     place = F.pmod(F.col("value"), F.lit(BITMAP_BITS))
     bit = F.expr(f"shiftleft(1L, cast(pmod(value, {BITMAP_BITS}) % 64 as int))")
     words = named.select(F.floor(place / 64).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
@@ -105,7 +92,7 @@ def _bitmap(named: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little")
 
 
-def _doc_bins(width: int, bitmap: np.ndarray):
+def _doc_keys(width: int, bitmap: np.ndarray):
     packed = np.packbits(bitmap, bitorder="little")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,8 +100,7 @@ def _doc_bins(width: int, bitmap: np.ndarray):
         for batch in batches:
             rows, values = [], []
             for at, data in enumerate(W.texts(batch.column("text"))):
-                shingles = _shingles(hasher, data, width)
-                made = bins(shingles, power_of(shingles.size))
+                made = _shingles(hasher, data, width)
                 made = made[known[(made & np.uint64(BITMAP_BITS - 1)).astype(np.int64)]]
                 if made.size:
                     rows.append(np.full(made.size, at))

@@ -38,3 +38,19 @@ def test_matches_equal_brute_force(spark, odd_docs, odd_rows, no_docs):
     assert clean.columns == ["doc_id", "text"]
     assert clean.count() == sum(r[0] not in dirty for r in [*odd_rows, *rows])
     assert D.matches(no_docs, table).count() == 0 == D.matches(docs, table.limit(0)).count()
+
+
+def test_short_items_in_long_documents(spark):
+    rng = random.Random(11)
+    docs = [(d, " ".join(f"w{rng.randrange(50_000)}" for _ in range(n))) for d, n in enumerate((9_000, 16_000, 20_000))]
+    items = []
+    for d, text in docs:
+        words = text.split()
+        for k in range(60):
+            part = words[k * 140 : k * 140 + 5 + k % 6]
+            if len(part) >= 9:
+                part[-1] = "changed"
+            items.append((100 * d + k, " ".join(part)))
+    got = D.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute(docs, items)
+    assert {tuple(r) for r in got.select("item_id", "doc_id", "n_item", "n_shared").collect()} == want and len(want) == 180
