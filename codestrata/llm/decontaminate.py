@@ -11,8 +11,10 @@ What travels to all tasks is one bitmap of fixed size over the items' keys. It o
 shingles that are no key; those left are joined by Spark.
 
 Defined results: items or documents without words match nothing; fewer words than a
-shingle are one shingle; null ids and repeated rows are matched row by row and reported
-once per pair of ids; empty tables give no rows; other columns are not read.
+shingle are one shingle; repeated ids are matched row by row and reported once per pair
+of ids, and rows and items without an id have no pair to report; ``keep_clean`` judges
+each row by its own text against every item, whatever their ids; empty tables give no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -50,9 +52,11 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """The documents that contain no item, with their own columns."""
-    found = matches(docs, items, doc_id, item_id, text).select(F.col(doc_id).alias("_found")).distinct()
-    return docs.join(found, docs[doc_id] == F.col("_found"), "left_anti")
+    """The rows whose text contains no item, with their own columns. Texts are told apart by a hash, so ids may be null or repeat."""
+    row = F.xxhash64(F.col(text).cast("string"))
+    given, wanted = (table.select(row.alias(name), text) for table, name in ((docs, doc_id), (items, item_id)))
+    found = matches(given, wanted, doc_id, item_id, text).select(F.col(doc_id).alias("_found")).distinct()
+    return docs.join(found, F.xxhash64(docs[text].cast("string")) == F.col("_found"), "left_anti")
 
 
 def keys(shingles: np.ndarray) -> np.ndarray:

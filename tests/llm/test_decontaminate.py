@@ -54,3 +54,12 @@ def test_short_items_in_long_documents(spark):
     got = D.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     want = brute(docs, items)
     assert {tuple(r) for r in got.select("item_id", "doc_id", "n_item", "n_shared").collect()} == want and len(want) == 180
+
+
+def test_clean_rows_whatever_their_ids(spark):
+    leak, other = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(None, f"so {leak} it goes"), (None, "nothing of it in here at all"), (1, f"and {other} again"), (2, "free of it"), (2, leak), (3, None)]
+    items = [(7, leak), (None, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = D.keep_clean(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(repr, map(tuple, clean.collect()))) == sorted(map(repr, [rows[1], rows[3], rows[5]]))
