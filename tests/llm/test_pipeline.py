@@ -40,6 +40,18 @@ def test_run_equals_the_plain_version(spark):
     assert all(r.n_chars == len(r.text) for r in rows)
 
 
+def test_one_row_of_each_group_of_near_copies(spark):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(40)) for c in "abc")
+    rows = [(1, one, "x"), (1, one, "y"), (1, one, "x"), (2, one + " end", "x"), (2, two, "x"), (None, two, "x"), (None, three, "x"), (None, three, "y"), (None, three + " end", "x")]
+    rows += [(4, "", "x"), (4, "", "x"), (None, None, "x"), (5, None, "x"), (None, "5", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    left = corpus_pipeline.one_of_near_copies(spark, docs, ROOT)
+    got = sorted(map(repr, map(tuple, left.collect())))
+    unnamed = [r for r in got if r.startswith("(None, 'c0 ")]
+    assert left.columns == docs.columns and len(unnamed) == 1 and unnamed[0].endswith("'x')")
+    assert sorted(set(got) - set(unnamed)) == sorted({repr(r) for r in [rows[0], rows[4], *rows[9:]]}) and len(got) == 8
+
+
 def test_every_operator_is_registered():
     names = contract.queries()
     assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
