@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import decontaminate, line_dedup, ngram_join, pieces, quality, sharding, substring_dedup, token_files, url_filter, warc
+from codestrata.llm import decontaminate, line_dedup, ngram_join, pieces, quality, sharding, substring_dedup, token_files, url_filter, warc, whitening
 from codestrata.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,18 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_token_counts")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.counts(table(spark, sf_dir, "documents"))
+
+
+@query("op11_embedding_whitening")
+def whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors, "embedding", 8)
+    if model is None:
+        kind = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
+        return spark.createDataFrame([], kind)
+    explained = F.array(*[F.lit(float(e)) for e in model.explained]).cast("array<double>")
+    placed = whitening.whiten(vectors, model, "vec_id", "embedding").select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return placed.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        explained[F.col("at")].alias("explained"), F.lit(whitening.identity_error(vectors, model, "embedding")).alias("identity_error"),
+    )
