@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import decontaminate, line_dedup, ngram_join, pieces, quality, sharding, substring_dedup, token_files, url_filter, warc, whitening
+from codestrata.llm import decontaminate, line_dedup, ngram_join, pieces, prefix_trie, quality, sharding, substring_dedup, token_files, url_filter, warc, whitening
 from codestrata.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,29 @@ def whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
         explained[F.col("at")].alias("explained"), F.lit(whitening.identity_error(vectors, model, "embedding")).alias("identity_error"),
     )
+
+
+TRIE_SQL = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS txt, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {sharding.crc_sql("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS own, i, role, txt FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND i <= h
+  UNION ALL SELECT conv_id, 1, i, role, txt FROM c JOIN t USING (conv_id) WHERE i > h),
+s AS (SELECT conv_id, row_number() OVER w AS d, length(txt) AS len,
+  sha256(array_to_string(list(sha256(length(role) || ':' || role || txt)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), ',')) AS k FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, i)),
+m AS (SELECT conv_id, d, len, k FROM s UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+l AS (SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY d) AS up, d = max(d) OVER (PARTITION BY conv_id) AS last FROM m),
+n AS (SELECT k, any_value(up) AS up, any_value(d) AS d, any_value(len) AS len, min(conv_id) AS conv_id, count(*) AS n,
+  coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '') AS ends FROM l GROUP BY k),
+x AS (SELECT n.*, (SELECT count(*) FROM n AS y WHERE y.up = n.k) AS kids FROM n),
+b AS (SELECT DISTINCT p.k AS top, q.k AS k FROM m p JOIN m q ON q.conv_id = p.conv_id AND q.d >= p.d),
+z AS (SELECT b.top, sum((x.kids = 0)::INT) AS leaves, sum((x.n - 1) * x.len) AS saved FROM b JOIN x USING (k) GROUP BY 1)
+SELECT x.conv_id, x.d::BIGINT AS depth, p.conv_id AS parent_conv_id, x.n::BIGINT AS n_convs, x.kids::BIGINT AS n_children, z.leaves::BIGINT AS n_leaves,
+  z.saved::BIGINT AS saved_tokens, sha256(x.ends) AS ends_sha256 FROM x JOIN z ON z.top = x.k LEFT JOIN x p ON p.k = x.up
+"""
+
+
+@query("op12_conversation_trie", TRIE_SQL)
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        rebuilt = scratch.keep(prefix_trie.grafted(scratch.keep(prefix_trie.paths(table(spark, sf_dir, "conversations")))))
+        return scratch.result(prefix_trie.trie(scratch, rebuilt))
