@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import decontaminate, line_dedup, ngram_join, pieces, prefix_trie, quality, sharding, substring_dedup, token_files, url_filter, warc, whitening
+from codestrata.llm import decontaminate, line_dedup, near_vectors, ngram_join, pieces, prefix_trie, quality, sharding, substring_dedup, token_files, url_filter, warc, whitening
 from codestrata.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +184,18 @@ def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as scratch:
         rebuilt = scratch.keep(prefix_trie.grafted(scratch.keep(prefix_trie.paths(table(spark, sf_dir, "conversations")))))
         return scratch.result(prefix_trie.trie(scratch, rebuilt))
+
+
+NEAR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
+@query("op13_embedding_near_dedup", NEAR_SQL)
+def near_vectors_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.components(table(spark, sf_dir, "embeddings"))
