@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import configparser
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -36,6 +37,72 @@ def _texts(value: Any) -> list[str]:
     return [v.strip() for v in value if isinstance(v, str) and v.strip()] if isinstance(value, list) else []
 
 
+@dataclass(frozen=True)
+class Contract:
+    """Groups of modules and the ordered pairs of groups that must not be linked."""
+
+    name: str
+    groups: tuple[tuple[str, str], ...]
+    pairs: tuple[tuple[str, str], ...]
+    through: bool = False
+    direct_only: bool = False
+    ignored: tuple[tuple[str, str], ...] = ()
+
+    @classmethod
+    def of(cls, data: dict[str, Any]) -> Contract:
+        """A contract of type ``layers``, ``forbidden`` or ``independence``."""
+        kind, name = str(data.get("type", "")).strip().lower(), str(data.get("name") or data.get("type"))
+        ignored = tuple(tuple(x.strip() for x in line.split("->")) for line in _texts(data.get("ignore_imports") or []) if "->" in line)
+        if kind == "layers":
+            return cls.layered(name, _tiers(data.get("layers") or []), _texts(data.get("containers") or []) or [""], ignored)
+        if kind == "independence":
+            modules = _texts(data.get("modules") or [])
+            return cls(name, tuple((m, m) for m in modules), tuple((a, b) for a in modules for b in modules if a != b), ignored=ignored)
+        if kind == "forbidden":
+            sources, targets = _texts(data.get("source_modules") or []), _texts(data.get("forbidden_modules") or [])
+            indirect = str(data.get("allow_indirect_imports", "false")).strip().lower() in ("true", "1")
+            groups = tuple((m, m) for m in dict.fromkeys([*sources, *targets]))
+            return cls(name, groups, tuple((a, b) for a in sources for b in targets if a != b), True, indirect, ignored)
+        raise ValueError(f"contract {name!r}: unknown type {kind!r}")
+
+    @classmethod
+    def layered(cls, name: str, tiers: list[tuple[list[str], bool]], containers: list[str], ignored: tuple = ()) -> Contract:
+        """Highest tier first; no layer may reach a higher one, and independent siblings not each other."""
+        groups, pairs = [], []
+        for container in containers:
+            full = lambda layer: f"{container}.{layer}" if container else layer  # noqa: B023, E731
+            groups += [(full(x), full(x)) for tier, _ in tiers for x in tier]
+            for at, (tier, apart) in enumerate(tiers):
+                above = [x for higher, _ in tiers[:at] for x in higher]
+                pairs += [(full(a), full(b)) for a in tier for b in above + [c for c in tier if apart and c != a]]
+        return cls(name, tuple(groups), tuple(pairs), ignored=ignored)
+
+
+def _tiers(lines: Any) -> list[tuple[list[str], bool]]:
+    """Layers by tier, and whether those of a tier are independent: ``a | b``; ``a : b`` and lists are not."""
+    out = []
+    for line in lines.splitlines() if isinstance(lines, str) else lines:
+        apart = isinstance(line, str) and "|" in line
+        names = _texts(line) if isinstance(line, list) else str(line).replace("|", ":").split(":")
+        tier = [n.strip().strip("()").strip() for n in names if n.strip()]
+        out += [(tier, apart)] if tier else []
+    return out
+
+
+def read_contracts(text: str) -> list[Contract]:
+    """The contracts of an INI file with sections ``importlinter:contract:<id>``, in their order."""
+    parser = configparser.RawConfigParser()
+    parser.optionxform = str
+    parser.read_string(text)
+    out = []
+    for section in parser.sections():
+        if section.startswith("importlinter:contract:"):
+            lists = ("layers", "containers", "modules", "source_modules", "forbidden_modules", "ignore_imports")
+            data = {k: [x for x in v.splitlines() if x.strip()] if k in lists else v for k, v in parser.items(section)}
+            out.append(Contract.of({"name": section.rpartition(":")[2]} | data))
+    return out
+
+
 @dataclass(frozen=True)
 class ProjectConfig:
     package_root: str = ""
@@ -52,6 +119,7 @@ class ProjectConfig:
     abort_on_collision: bool = False
     enrichment: dict[str, Any] = field(default_factory=dict)
     is_default: bool = False
+    given_contracts: tuple[Contract, ...] = ()
 
     @classmethod
     def read(cls, path: str) -> ProjectConfig:
@@ -95,8 +163,20 @@ class ProjectConfig:
             abort_on_collision=bool(calls.get("abort_on_high_collision", False)),
             enrichment=given.get("llm") or {},
             is_default=not given,
+            given_contracts=tuple(map(Contract.of, given.get("contracts") or [])),
         )
 
+    def contracts(self) -> list[Contract]:
+        """The contracts of the configuration, else that of its layer order."""
+        tiers: dict[int, list[str]] = {}
+        for layer, tier in self.tier_rows():
+            tiers.setdefault(tier, []).append(layer)
+        if self.given_contracts or not tiers:
+            return list(self.given_contracts)
+        order = Contract.layered("layer order", [(tiers[t], False) for t in sorted(tiers)], [""])
+        named = {layer for layer, _ in order.groups}
+        return [Contract(order.name, tuple((layer, prefix) for layer, prefix, _ in self.prefix_rows() if layer in named), order.pairs)]
+
     def prefix_rows(self) -> list[tuple[str, str, int]]:
         """``(layer, prefix, ord)`` over layers, then utility layers, rooted in the package."""
         root, rows = self.package_root, []

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from codestrata.plans import catalogue, corpus, reviews  # noqa: F401
+from codestrata.plans import catalogue, corpus, graphs, reviews  # noqa: F401

@@ -29,7 +29,7 @@ part("cls", """SELECT filepath, 'K' || o_orderkey AS class_name, filepath || '::
   substr(o_orderpriority, 1, 1) = '4' AS excluded, layer FROM ord WHERE o_orderstatus = 'P'""")
 part("mi0", "SELECT filepath, layer, CAST(floor((c_acctbal + 1000.0::DOUBLE) / 1.1::DOUBLE) AS DOUBLE) / 100.0::DOUBLE AS mi FROM cust")
 part("mif", "SELECT *, CASE WHEN mi > 19 THEN 'A' WHEN mi > 9 THEN 'B' ELSE 'C' END AS rank FROM mi0")
-part("items", """SELECT li.l_orderkey, li.l_suppkey, li.l_linenumber, li.l_returnflag, o.o_orderpriority, c.c_nationkey, c.c_custkey, s.s_nationkey, s.s_acctbal, s.s_suppkey,
+part("items", """SELECT li.l_orderkey, li.l_partkey, li.l_suppkey, li.l_linenumber, li.l_returnflag, o.o_orderpriority, c.c_nationkey, c.c_custkey, s.s_nationkey, s.s_acctbal, s.s_suppkey,
   nc.n_regionkey AS c_region, ns.n_regionkey AS s_region
   FROM lineitem li JOIN orders o ON li.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN supplier s ON li.l_suppkey = s.s_suppkey
   JOIN nation nc ON nc.n_nationkey = c.c_nationkey JOIN nation ns ON ns.n_nationkey = s.s_nationkey""")

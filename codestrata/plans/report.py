@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.config import ProjectConfig, config_table
-from codestrata.operators import callgraph, classfacts, contracts, events, heuristics, layers, relations, summaries
+from codestrata.config import Contract, ProjectConfig, config_table
+from codestrata.operators import callgraph, classfacts, contracts, events, heuristics, import_contracts, layers, relations, summaries
 from codestrata.session import cut_lineage
 from codestrata.sources import files as source_files
 from codestrata.sources import tool_reports
@@ -55,6 +55,7 @@ class Sources:
     call_nodes: DataFrame | None = None
     call_edges: DataFrame | None = None
     suspicious: DataFrame | None = None
+    contract_chains: DataFrame | None = None
     errors: dict[str, str] = field(default_factory=dict)
 
     def present(self) -> list[str]:
@@ -258,13 +259,38 @@ def _import_graph(p: Project) -> None:
 def _contracts(p: Project) -> None:
     path = p.reports.get("contracts")
     if path is None:
-        raise FileNotFoundError("no contract report")
+        return _check_contracts(p)
     lines = cut_lineage(source_files.read_lines(p.spark, path))
     p.sources.broken_imports = contracts.broken_imports(lines).withColumnRenamed("pos", "seq")
     passed = lines.select("file").distinct().withColumn("passed", F.lit(p.contracts_passed))
     p.sources.contract_totals = contracts.contract_totals(lines, passed)
 
 
+def _check_contracts(p: Project) -> None:
+    """Without a report the contracts are checked on the imports of the source."""
+    given = p.config.contracts()
+    if not given:
+        raise FileNotFoundError("no contract report and no contracts to check")
+    imports = cut_lineage(classfacts.import_graph(p.rows(), p.files()))
+    groups, pairs, modes, order = contract_relations(p.spark, given)
+    ignored = import_contracts.ignored_imports(imports, [(c.name, *pattern) for c in given for pattern in c.ignored])
+    found = cut_lineage(import_contracts.breaches(imports, groups, pairs, modes, ignored))
+    direct = import_contracts.direct_breaches(imports, import_contracts.members(imports, groups), pairs, ignored)
+    p.sources.contract_chains = found
+    p.sources.broken_imports = cut_lineage(import_contracts.broken_imports(found, direct, order))
+    p.sources.contract_totals = cut_lineage(import_contracts.totals(found, order))
+
+
+def contract_relations(spark: SparkSession, given: list[Contract]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Groups, pairs, modes and order of contracts as the relations that the check joins."""
+    return (
+        config_table(spark, "contract string, grp string, prefix string", [(c.name, g, m) for c in given for g, m in c.groups]),
+        config_table(spark, "contract string, origin string, target string", [(c.name, a, b) for c in given for a, b in c.pairs]),
+        config_table(spark, "contract string, through boolean, direct_only boolean", [(c.name, c.through, c.direct_only) for c in given]),
+        config_table(spark, "contract string, seq int", [(c.name, k) for k, c in enumerate(given)]),
+    )
+
+
 @analyzer("pyan3")
 def _calls(p: Project) -> None:
     path = p.reports.get("calls")
@@ -314,6 +340,9 @@ def _notes(project: Project, report: dict[str, DataFrame], generated_at: str | N
         "functions_by_complexity": report["functions"].select("function_id", "cc").orderBy(F.col("cc").desc(), "function_id"),
         "files_by_maintainability": report["files"].where("mi is not null").select("filepath", "mi").orderBy("mi", "filepath"),
     }
+    if given.contract_chains is not None:
+        chains = given.contract_chains.withColumn("chain", F.array_join("chain", " -> "))
+        notes["contract_chains"] = chains.orderBy("contract", "origin", "target")
     if given.call_nodes is not None and given.call_edges is not None:
         roles = callgraph.classify_nodes(given.call_nodes, given.call_edges)
         rate = callgraph.collisions(given.call_nodes, given.suspicious)

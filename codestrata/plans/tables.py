@@ -77,7 +77,7 @@ class Facts:
         """Line items with the nation, region and key of both ends."""
         region = self.table("nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("s_region"))
         home = self.table("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("c_region"))
-        items = self.table("lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag")
+        items = self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
         return (
             items.join(self.table("supplier").join(region, "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
             .join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -92,6 +92,24 @@ class Facts:
         outside = F.concat(F.lit("ext"), F.col("s_region"), F.lit(".pkg.s"), F.col("s_suppkey"))
         return self.import_rows().select(importer.alias("importer"), F.when(F.col("s_acctbal") < 0, outside).otherwise(inside).alias("imported"))
 
+    def module_imports(self) -> DataFrame:
+        """A module graph in which layers reach each other through library modules.
+
+        Customers import parts or, rarely, suppliers; parts import adapters of suppliers; some
+        adapters import their supplier; suppliers import outside packages.
+        """
+        cust = F.concat(F.lit("app.n"), F.col("c_nationkey"), F.lit(".c"), F.col("c_custkey"))
+        supp = F.concat(F.lit("app.n"), F.col("s_nationkey"), F.lit(".s"), F.col("s_suppkey"))
+        part_, adapter = F.concat(F.lit("lib.p"), F.col("l_partkey")), F.concat(F.lit("lib.q"), F.col("s_suppkey"))
+        outside = F.concat(F.lit("ext"), F.col("s_region"))
+        returned, line = F.col("l_returnflag"), F.col("l_linenumber")
+        link = lambda a, b: F.struct(a.alias("importer"), b.alias("imported"))
+        ends = (
+            F.when((returned == "R") & (line == 7), link(cust, supp)).when(returned == "R", link(cust, part_)).when(returned == "A", link(part_, adapter))
+            .when((line == 1) & (F.col("s_suppkey") % 3 == 0), link(adapter, supp)).otherwise(link(supp, outside))
+        )
+        return self.import_rows().select(ends.alias("e")).select("e.importer", "e.imported").distinct()
+
     def externals(self) -> DataFrame:
         name = F.concat(F.lit("ext"), F.col("r_regionkey"))
         return self.table("region").select(name.alias("layer"), name.alias("prefix"), F.col("r_regionkey").alias("ord"))
