@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from codestrata.session import cut_lineage
 
+
 def _mark(df: DataFrame) -> tuple:
     """A fingerprint of an edge set: row count plus an order-free hash sum."""
     h = F.xxhash64(*df.columns).cast("decimal(38,0)")
@@ -44,84 +47,80 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def strong_components(edges: DataFrame, steps: int = 4) -> DataFrame:
-    """``(node, component)`` for a directed ``edges(source, target)``.
+def strong_components(edges: DataFrame, rounds: list[int] | None = None) -> DataFrame:
+    """``(node, component)`` for the nodes on cycles of a directed ``edges(source, target)``.
 
-    Nodes on no cycle drop out by trimming. The rest are coloured with the
-    largest id that reaches them; inside a colour, whatever reaches the colour's
-    own node backwards is one component. Components leave the graph and the
-    rounds repeat. Each step costs one row per edge.
+    Every round gives the nodes random ranks. A node's colour is the highest rank that reaches
+    it, its echo the highest rank that it reaches inside its colour; where both are the same
+    node, the node lies on a cycle with it. Members of one component share colour and echo, so
+    all edges between nodes that differ in either are dropped, along with edges that nothing
+    enters or that lead nowhere. Random ranks split a chain of components near its middle, so
+    the rounds grow with its logarithm. A component is named by its largest node.
+
+    ``rounds`` receives the number of jobs that each round needed for its colours and echoes.
     """
-    rest = cut_lineage(edges.where(F.col("source") != F.col("target")).select("source", "target").distinct())
-    found = None
-    while True:
-        rest = _trim(rest)
-        if rest.isEmpty():
-            break
-        # A loop on every node lets a value stay where it is, so a step reads the values only once.
-        loops = cut_lineage(rest.select(F.col("source").alias("node")).union(rest.select("target")).distinct())
-        looped = cut_lineage(rest.unionByName(loops.select(F.col("node").alias("source"), F.col("node").alias("target"))))
-        colours = _spread(loops.withColumn("colour", F.col("node")), looped, steps)
-        inside = (
-            looped.join(colours.select(F.col("node").alias("source"), F.col("colour").alias("c1")), "source")
-            .join(colours.select(F.col("node").alias("target"), F.col("colour").alias("c2")), "target")
-            .where(F.col("c1") == F.col("c2"))
-            .select(F.col("target").alias("source"), F.col("source").alias("target"))
-        )
-        reached = _reach(colours.where(F.col("node") == F.col("colour")).select("node", "colour"), cut_lineage(inside), steps)
-        members = cut_lineage(reached.select("node", F.col("colour").alias("component")))
-        found = members if found is None else found.unionByName(members)
-        gone = members.select("node")
-        rest = cut_lineage(
-            rest.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(
-                gone.withColumnRenamed("node", "target"), "target", "left_anti"
-            )
-        )
-    if found is None:
+    rest = cut_lineage(_trimmed(edges.where(F.col("source") != F.col("target")).select("source", "target").distinct()))
+    found: list[DataFrame] = []
+    while not rest.isEmpty():
+        seed = len(found)
+        colours, jobs = _summits(rest, seed)
+        same = (
+            rest.join(colours.select(F.col("node").alias("source"), F.col("top").alias("colour")), "source")
+            .join(colours.select(F.col("node").alias("target"), F.col("top").alias("_other")), "target")
+            .where(F.col("colour") == F.col("_other")).select("source", "target", "colour")
+        )
+        same = cut_lineage(same)
+        echoes, more = _summits(same.select(F.col("target").alias("source"), F.col("source").alias("target")), seed)
+        of = same.select(F.col("source").alias("node"), "colour").union(same.select("target", "colour")).distinct()
+        told = cut_lineage(echoes.join(of, "node"))
+        found.append(told.where("top = colour").select("node", F.col("colour.node").alias("component")))
+        left = told.where("top <> colour").select("node", "top")
+        kept = (
+            same.join(left.withColumnRenamed("node", "source"), "source")
+            .join(left.select(F.col("node").alias("target"), F.col("top").alias("_other")), "target")
+            .where(F.col("top") == F.col("_other")).select("source", "target")
+        )
+        rest = cut_lineage(_trimmed(kept))
+        if rounds is not None:
+            rounds.append(jobs + more)
+    if not found:
         kind = edges.schema["source"].dataType
         return edges.select(F.col("source").alias("node"), F.col("target").cast(kind).alias("component")).limit(0)
-    return found
+    members = reduce(DataFrame.unionByName, found)
+    names = members.groupBy("component").agg(F.max("node").alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return members.join(names, "component").select("node", F.col("name").alias("component"))
 
 
-def _trim(edges: DataFrame) -> DataFrame:
-    """Drop edges whose source nobody enters or whose target leads nowhere."""
-    size = edges.count()
-    while size:
-        kept = edges.join(edges.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(
-            edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi"
-        )
-        kept = cut_lineage(kept)
-        left = kept.count()
-        edges = kept
-        if left == size:
-            break
-        size = left
-    return edges
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Without the edges whose source nobody enters or whose target leads nowhere."""
+    return edges.join(edges.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(
+        edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi"
+    )
 
 
-def _spread(colours: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
-    """Push the largest colour along the edges until nothing changes."""
-    before = None
+def _summits(edges: DataFrame, seed: int) -> tuple[DataFrame, int]:
+    """For each node the highest-ranked node that leads to it, and the number of jobs.
+
+    In a job a node first takes over what its own summit knows, which doubles the distance
+    covered, and then what stands up to two edges before it.
+    """
+    nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
+    tops = cut_lineage(nodes.select("node", F.struct(F.xxhash64(F.lit(seed), "node").alias("rank"), "node").alias("top")))
+    # A loop on every node lets a value stay where it is, so a step reads the values only once.
+    loops = nodes.select(F.col("node").alias("source"), F.col("node").alias("target"))
+    looped = cut_lineage(edges.select("source", "target").unionByName(loops))
+    before, jobs = None, 0
     while True:
-        for _ in range(steps):
-            pushed = edges.join(colours.withColumnRenamed("node", "source"), "source")
-            colours = pushed.groupBy(F.col("target").alias("node")).agg(F.max("colour").alias("colour"))
-        colours = cut_lineage(colours)
-        after = _mark(colours)
+        known = tops.select(F.col("node").alias("_at"), F.col("top").alias("_higher"))
+        moved = tops.join(known, F.col("top.node") == F.col("_at")).select("node", F.greatest("top", "_higher").alias("top"))
+        for _ in range(2):
+            pushed = looped.join(moved.withColumnRenamed("node", "source"), "source")
+            moved = pushed.groupBy(F.col("target").alias("node")).agg(F.max("top").alias("top"))
+        # The fingerprint comes with the write, so a step is one job.
+        mark = Observation()
+        h = F.xxhash64("node", "top").cast("decimal(38,0)")
+        tops, jobs = cut_lineage(moved.observe(mark, F.count(F.lit(1)).alias("n"), F.sum(h).alias("sum"))), jobs + 1
+        after = mark.get
         if after == before:
-            return colours
+            return tops, jobs
         before = after
-
-
-def _reach(start: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
-    """Grow ``start(node, colour)`` along same-colour edges until nothing changes."""
-    size = None
-    while True:
-        for _ in range(steps):
-            grown = edges.join(start.withColumnRenamed("node", "source"), "source")
-            start = grown.select(F.col("target").alias("node"), "colour").distinct()
-        start = cut_lineage(start)
-        count = start.count()
-        if count == size:
-            return start
-        size = count

@@ -1,11 +1,11 @@
-"""Queries over module graphs that grow with the line items: contracts and their chains."""
+"""Queries over module graphs that grow with the line items: contracts, their chains, import cycles."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.operators import import_contracts
+from codestrata.operators import graph, import_contracts
 from codestrata.plans.registry import part, query
 from codestrata.plans.tables import Facts
 
@@ -66,3 +66,29 @@ def _(f):
 def _(f):
     order = contract_relations(f)[2].select("contract", F.lit(0).alias("seq"))
     return import_contracts.totals(found_breaches(f), order)
+
+
+# Modules are the lines of an order, each importing the next. Filled orders import back to their first
+# line, orders import their customer's next order, and every fifth customer closes the ring of orders.
+part("line_mod", "SELECT DISTINCT l_orderkey, o_custkey, o_orderstatus, 'o' || l_orderkey || '.l' || l_linenumber AS node FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+
+
+def line_imports(f: Facts) -> DataFrame:
+    node = F.concat(F.lit("o"), F.col("l_orderkey"), F.lit(".l"), F.col("line"))
+    lines = f.table("lineitem").select("l_orderkey", F.col("l_linenumber").alias("line")).distinct()
+    following = F.lead("line").over(Window.partitionBy("l_orderkey").orderBy("line"))
+    inside = lines.withColumn("next", following).where("next is not null").select(node.alias("source"), F.concat(F.lit("o"), F.col("l_orderkey"), F.lit(".l"), F.col("next")).alias("target"))
+    ends = lines.groupBy("l_orderkey").agg(F.min_by(node, "line").alias("first"), F.max_by(node, "line").alias("last"))
+    orders = ends.join(f.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "o_custkey", "o_orderstatus", "first", "last")
+    back = orders.where("o_orderstatus = 'F'").select(F.col("last").alias("source"), F.col("first").alias("target"))
+    after = orders.withColumn("next", F.lead("first").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    ring = orders.where("o_custkey % 5 = 0").groupBy("o_custkey").agg(F.max_by("last", "o_orderkey").alias("source"), F.min_by("first", "o_orderkey").alias("target"))
+    onward = after.where("next is not null").select(F.col("last").alias("source"), F.col("next").alias("target"))
+    return inside.unionByName(back).unionByName(onward).unionByName(ring.select("source", "target"))
+
+
+@query("q_module_cycles", """SELECT component, n FROM (
+  SELECT max(node) AS component, count(*) AS n FROM line_mod WHERE o_custkey % 5 = 0 GROUP BY o_custkey
+  UNION ALL SELECT max(node), count(*) FROM line_mod WHERE o_custkey % 5 <> 0 AND o_orderstatus = 'F' GROUP BY l_orderkey) WHERE n > 1""")
+def _(f):
+    return graph.strong_components(line_imports(f)).groupBy("component").agg(F.count(F.lit(1)).alias("n"))

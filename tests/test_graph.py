@@ -1,3 +1,5 @@
+import math
+import os
 import random
 
 import pytest
@@ -55,3 +57,21 @@ def test_strong_components(spark):
 def test_no_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c")], "source string, target string")
     assert graph.strong_components(edges).count() == 0
+
+
+@pytest.mark.parametrize("count", [64, pytest.param(1000, marks=pytest.mark.skipif("CHECK_ALL" not in os.environ, reason="long; CHECK_ALL=1 runs it"))])
+def test_rounds_grow_with_the_logarithm_of_a_chain_of_cycles(spark, count):
+    edges = [e for k in range(count) for e in ((2 * k, 2 * k + 1), (2 * k + 1, 2 * k), (2 * k + 1, 2 * k + 2))]
+    rounds = []
+    got = {}
+    for r in graph.strong_components(spark.createDataFrame(edges, "source long, target long"), rounds).collect():
+        got.setdefault(r.component, set()).add(r.node)
+    assert got == {2 * k + 1: {2 * k, 2 * k + 1} for k in range(count)}
+    assert len(rounds) <= 1.6 * math.log2(count) and max(rounds) <= 4 * math.log2(count)
+
+
+def test_one_long_ring_is_one_round(spark):
+    edges = [(k, (k + 1) % 300) for k in range(300)] + [(k, 1000 + k) for k in range(50)] + [(7, 7)]
+    rounds = []
+    got = graph.strong_components(spark.createDataFrame(edges, "source long, target long"), rounds).collect()
+    assert {(r.node, r.component) for r in got} == {(k, 299) for k in range(300)} and len(rounds) == 1
