@@ -43,11 +43,13 @@ def replay(requests: DataFrame, limit: int) -> DataFrame:
     zero or less means no limit. Later requests of a paid key are cached. Once a
     call is denied every later one is, so the sum over all payers decides.
     """
-    firsts = requests.join(_first_by_key(requests), "key").where(F.col("seq") == F.col("_first"))
+    payer = F.min(F.struct((-F.col("priority")).alias("p"), "seq", "tokens")).alias("f")
+    firsts = requests.groupBy("key").agg(payer).select("key", (-F.col("f.p")).alias("priority"), "f.seq", "f.tokens", F.col("f.seq").alias("_first"))
     if limit <= 0:
         decided = firsts.select("key", "_first", F.lit(True).alias("_go"))
     else:
-        paid = running_total(_ranked(firsts), _LEVELS, ["seq"], "tokens", "_before")
+        # One row a key, written: the requests are read once for it and once for their outcomes.
+        paid = running_total(_ranked(cut_lineage(firsts)), _LEVELS, ["seq"], "tokens", "_before")
         decided = paid.select("key", "_first", (F.col("_before") < limit).alias("_go"))
     outcome = F.when(~F.col("_go"), "denied").when(F.col("seq") == F.col("_first"), "called").otherwise("cached")
     return requests.join(decided, "key").withColumn("outcome", outcome).drop("_first", "_go")

@@ -26,12 +26,12 @@ def parse_blocks(lines: DataFrame) -> DataFrame:
         "_open",
         F.when(flush, F.struct(F.col("pos").alias("start"), F.when(valid & ~is_diagnostic(F.col("_t")), F.col("_t")).alias("name"))),
     )
-    filled = fill_down(marked, ["file"], "slice", ["pos"], "_source", "source")
-    filled = fill_down(filled, ["file"], "slice", ["pos"], "_open", "_block")
     used = F.when(~flush & F.startswith("_t", F.lit("[U]")), F.trim(F.regexp_replace("_t", r"^\[U\]", "")))
+    read = marked.select("file", "slice", "pos", "_source", "_open", used.alias("used"))
+    filled = fill_down(read, ["file"], "slice", ["pos"], {"source": "_source", "_block": "_open"})
     return filled.select(
-        "file", "pos", F.when(F.col("_source").isNotNull(), F.col("_source")).alias("header"), "source",
-        F.col("_block.name").alias("block"), F.col("_block.start").alias("start"), used.alias("used"),
+        "file", "pos", F.col("_source").alias("header"), "source",
+        F.col("_block.name").alias("block"), F.col("_block.start").alias("start"), "used",
     ).where(F.col("header").isNotNull() | is_qualified_name(F.col("used")))
 
 

@@ -36,11 +36,11 @@ def broken_imports(lines: DataFrame) -> DataFrame:
     ends = text.endswith(" BROKEN")
     named = F.rtrim(F.regexp_replace(text, " BROKEN$", ""))
     marked = plain(lines).withColumn("_open", F.when(ends, F.struct(F.when(named != "", named).alias("name"), F.col("pos").alias("start"))))
-    filled = fill_down(marked, ["file"], "slice", ["pos"], "_open", "_contract")
-    return filled.where(~ends & F.col("_contract.name").isNotNull() & F.col("text").rlike(IMPORT_LINE)).select(
-        "file", "pos", F.col("_contract.name").alias("contract_name"),
-        F.regexp_extract("text", IMPORT_LINE, 1).alias("importer"), F.regexp_extract("text", IMPORT_LINE, 2).alias("imported"),
+    kept = marked.where(ends | F.col("text").rlike(IMPORT_LINE)).select(
+        "file", "slice", "pos", "_open", ends.alias("_ends"), *[F.regexp_extract("text", IMPORT_LINE, n).alias(c) for n, c in ((1, "importer"), (2, "imported"))]
     )
+    filled = fill_down(kept, ["file"], "slice", ["pos"], {"_contract": "_open"})
+    return filled.where(~F.col("_ends") & F.col("_contract.name").isNotNull()).select("file", "pos", F.col("_contract.name").alias("contract_name"), "importer", "imported")
 
 
 def contract_totals(lines: DataFrame, status: DataFrame) -> DataFrame:

@@ -1,14 +1,17 @@
 """Order-dependent operators without a group that one task must hold.
 
-A window over a whole group puts the group in one task. Each operator here
-works in two steps instead: inside a slice of the order, then across slices on
-one summary row per slice. The caller names the slice column, which must grow
-with the order. ``slices`` builds one where no number can be cut into ranges.
+A window over a whole group puts the group in one task. Each operator here is
+a sorted scan with carry instead: one exchange sorts every slice of the order,
+one pass over it is written, and a slice hands its last state to the next
+through one summary row. The input is read once for that, and a second time
+only where its rows are needed beside the result. The caller names the slice
+column, which must grow with the order. ``slices`` builds one where no number
+can be cut into ranges.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,54 +42,41 @@ def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "seq") ->
     )
 
 
-def fill_down(
-    df: DataFrame, keys: Sequence[str], slice_col: str, order: Sequence[Column | str], value: str, name: str
-) -> DataFrame:
-    """Add ``name``: the last non-null ``value`` at or before each row of the same key."""
-    inner = Window.partitionBy(*keys, slice_col).orderBy(*order)
-    local = df.withColumn("_local", F.last(value, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, slice_col)
-        .agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_end"))
-    )
-    seen = df.select(*keys, slice_col).distinct()
+def fill_down(df: DataFrame, keys: Sequence[str], slice_col: str, order: Sequence[Column | str], fills: Mapping[str, str]) -> DataFrame:
+    """Add, for each ``name: value`` of ``fills``, the last non-null value at or before each row of the same key.
+
+    The scan is written with all columns of ``df``, so it should hold no more than is needed.
+    Only slices that begin under a value from an earlier slice have a carry row to join.
+    """
+    names = list(fills)
+    inner = Window.partitionBy(*keys, slice_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    scanned = cut_lineage(df.withColumns({n: F.last(v, ignorenulls=True).over(inner) for n, v in fills.items()}))
+    ends = scanned.groupBy(*keys, slice_col).agg(F.max_by(F.struct(*names), F.struct(*order)).alias("_end"))
     across = Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        seen.join(ends, [*keys, slice_col], "left")
-        .withColumn("_carry", F.last("_end", ignorenulls=True).over(across))
-        .select(*keys, slice_col, F.col("_carry.v").alias("_carried"))
-    )
-    return (
-        local.join(carried, [*keys, slice_col], "left")
-        .withColumn(name, F.coalesce("_local", "_carried"))
-        .drop("_local", "_carried")
-    )
+    carried = ends.select(*keys, slice_col, *[F.last(F.col("_end")[n], ignorenulls=True).over(across).alias(f"_carry_{n}") for n in names])
+    # Written, so that its true size decides how it is joined.
+    carried = cut_lineage(carried.where(" or ".join(f"_carry_{n} is not null" for n in names)))
+    joined = scanned.join(carried, [*keys, slice_col], "left")
+    return joined.withColumns({n: F.coalesce(n, f"_carry_{n}") for n in names}).drop(*[f"_carry_{n}" for n in names])
 
 
 def running_total(df: DataFrame, levels: Sequence[str], order: Sequence[Column | str], value: str, name: str) -> DataFrame:
     """Add ``name``: the sum of ``value`` over all rows before each row.
 
     ``levels`` are slice columns from coarse to fine that together follow the
-    order. Every window then covers the children of one parent slice only.
+    order. Every window then covers the children of one parent slice only. The
+    sums of the finest slices are taken once; those of coarser ones add them up.
     """
-    result = df
-    offsets = F.lit(0).cast("long")
+    finest = cut_lineage(df.groupBy(*levels).agg(F.sum(value).alias("_sum")))
+    offsets = finest.select(*levels, F.lit(0).cast("long").alias("_off"))
     for depth in range(len(levels)):
-        outer, whole = list(levels[:depth]), list(levels[: depth + 1])
-        before = Window.partitionBy(*outer).orderBy(levels[depth]).rowsBetween(Window.unboundedPreceding, -1)
-        sums = (
-            df.groupBy(*whole)
-            .agg(F.sum(value).alias("_sum"))
-            .withColumn(f"_off{depth}", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-            .drop("_sum")
-        )
-        result = result.join(sums, whole)
-        offsets = offsets + F.col(f"_off{depth}")
+        whole = list(levels[: depth + 1])
+        before = Window.partitionBy(*levels[:depth]).orderBy(levels[depth]).rowsBetween(Window.unboundedPreceding, -1)
+        sums = finest.groupBy(*whole).agg(F.sum("_sum").alias("_sum")).select(*whole, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_add"))
+        offsets = offsets.join(sums, whole).withColumn("_off", F.col("_off") + F.col("_add")).drop("_add")
     inner = Window.partitionBy(*levels).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return result.withColumn(name, offsets + F.coalesce(F.sum(value).over(inner), F.lit(0))).drop(
-        *[f"_off{d}" for d in range(len(levels))]
-    )
+    joined = df.join(cut_lineage(offsets), list(levels))
+    return joined.withColumn(name, F.col("_off") + F.coalesce(F.sum(value).over(inner), F.lit(0))).drop("_off")
 
 
 def as_of(
@@ -103,22 +93,14 @@ def as_of(
     ``position`` is a whole number present on both sides. Among starts at one
     position the highest ``tie`` wins. Points without a start are dropped.
 
-    Both sides shrink to one row per (key, position) before the window runs, so
+    Both sides shrink together to one row per (key, position) before the scan, so
     a slice holds at most ``width`` positions however many rows repeat them.
     """
+    place = [*keys, position]
     order = [F.col(t) for t in tie] or [F.lit(0)]
-    best = starts.groupBy(*keys, position).agg(
-        F.max_by(F.struct(*payload), F.struct(*order)).alias("_start")
-    )
-    places = points.select(*keys, position).distinct().withColumn("_start", F.lit(None).cast(best.schema["_start"].dataType))
-    merged = (
-        best.unionByName(places)
-        .groupBy(*keys, position)
-        .agg(F.first("_start", ignorenulls=True).alias("_start"))
-        .withColumn("_slice", F.floor(F.col(position) / width))
-    )
-    filled = fill_down(merged, keys, "_slice", [position], "_start", "_bound")
-    bound = filled.where(F.col("_bound").isNotNull()).select(
-        *keys, position, *[F.col("_bound")[p].alias(p) for p in payload]
-    )
-    return points.join(bound, [*keys, position])
+    begun = starts.select(*place, F.struct(*payload).alias("_start"), F.struct(*order).alias("_tie"))
+    asked = points.select(*place, *[F.lit(None).cast(begun.schema[c].dataType).alias(c) for c in ("_start", "_tie")])
+    merged = begun.unionByName(asked).groupBy(*place).agg(F.max_by("_start", "_tie").alias("_start"))
+    filled = fill_down(merged.withColumn("_slice", F.floor(F.col(position) / width)), keys, "_slice", [position], {"_bound": "_start"})
+    bound = filled.where(F.col("_bound").isNotNull()).select(*place, *[F.col("_bound")[p].alias(p) for p in payload])
+    return points.join(bound, place)

@@ -9,7 +9,7 @@ def test_fill_down_crosses_slices_and_keeps_keys_apart(spark):
     rng = random.Random(1)
     rows = [("hot" if rng.random() < 0.7 else f"k{rng.randrange(4)}", i, f"v{i}" if rng.random() < 0.05 else None) for i in range(600)]
     df = spark.createDataFrame(rows, "k string, n long, v string").withColumn("s", F.floor(F.col("n") / 16))
-    got = {(r.k, r.n): r.out for r in fill_down(df, ["k"], "s", ["n"], "v", "out").collect()}
+    got = {(r.k, r.n): r.out for r in fill_down(df, ["k"], "s", ["n"], {"out": "v"}).collect()}
     last = {}
     for k, n, v in rows:
         last[k] = v if v is not None else last.get(k)
@@ -43,3 +43,28 @@ def test_running_total_over_levels(spark):
 def test_numbers_are_consecutive(spark):
     df = spark.range(500).select((F.col("id") * 7919 % 500).alias("x"))
     assert {r.x: r.seq for r in numbered(df, ["x"]).collect()} == {i: i for i in range(500)}
+
+
+def _counted(spark, df):
+    """The frame, and a function that says how often its rows have been read."""
+    seen, size = spark.sparkContext.accumulator(0), df.count()
+
+    def read(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(read, df.schema), lambda: seen.value / size
+
+
+def test_inputs_are_scanned_once_or_twice(spark):
+    rows = spark.range(3000).select((F.col("id") % 3).alias("k"), F.col("id").alias("n"), F.when(F.col("id") % 50 == 0, F.col("id")).alias("v"), F.when(F.col("id") % 70 == 0, F.lit("x")).alias("w"), F.floor(F.col("id") / 100).alias("s"))
+    df, reads = _counted(spark, rows)
+    got = fill_down(df, ["k"], "s", ["n"], {"a": "v", "b": "w"})
+    assert got.where("a is not null").count() > 2800 and got.where("b is null").count() < 220 and reads() == 1
+    df, reads = _counted(spark, rows)
+    assert running_total(df, ["k", "s"], ["n"], "n", "t").agg(F.max("t")).first()[0] > 0 and reads() <= 2
+    points, point_reads = _counted(spark, rows.select("k", "n"))
+    starts, start_reads = _counted(spark, rows.where("v is not null").select("k", "n", "v"))
+    found = as_of(points, starts, ["k"], "n", ["v"], width=64)
+    assert found.where("v <= n").count() > 2800 and point_reads() <= 2 and start_reads() == 1
