@@ -24,7 +24,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     config = ProjectConfig.read(args.config)
     session = spark or SparkSession.builder.appName("codestrata").getOrCreate()
     root = f"{args.target_dir.rstrip('/')}/{config.package_root}" if config.package_root else args.target_dir
-    project = Project(session, root, config, dict(r.split("=", 1) for r in args.report), not args.contracts_failed)
+    project = Project(session, root, config, dict(r.split("=", 1) for r in args.report), not args.contracts_failed, args.native)
     sections = run(project, datetime.now(tz=timezone.utc).isoformat())
     for name, reason in project.sources.errors.items():
         log.warning("source %s gave nothing: %s", name, reason)
@@ -51,6 +51,7 @@ def _arguments() -> argparse.ArgumentParser:
     parser.add_argument("--out", required=True, help="folder for the report sections")
     parser.add_argument("--report", action="append", default=[], help="complexity, maintainability, parameters, contracts or calls, as NAME=PATH")
     parser.add_argument("--contracts-failed", action="store_true", help="the contract checker returned an error code")
+    parser.add_argument("--native", action="store_true", help="take contracts and calls from the source where their report is missing")
     parser.add_argument("--texts", action="store_true", help="also write the skeleton and the tree")
     parser.add_argument("--log", help="log file")
     return parser

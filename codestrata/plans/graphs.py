@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.operators import graph, import_contracts
+from codestrata.operators import graph, import_contracts, symbols
 from codestrata.plans.registry import part, query
 from codestrata.plans.tables import Facts
+from codestrata.session import cut_lineage
+from codestrata.sources.python_scopes import scope_rows
 
 # Layers are nations in tiers of regions; region 4's nations must be independent; each of region 0's must not reach one outside package.
 part("mi_edges", """SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN 'app.n' || c_nationkey || '.c' || c_custkey WHEN l_returnflag = 'A' THEN 'lib.p' || l_partkey
@@ -92,3 +94,29 @@ def line_imports(f: Facts) -> DataFrame:
   UNION ALL SELECT max(node), count(*) FROM line_mod WHERE o_custkey % 5 <> 0 AND o_orderstatus = 'F' GROUP BY l_orderkey) WHERE n > 1""")
 def _(f):
     return graph.strong_components(line_imports(f)).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+
+
+def linked_modules(f: Facts) -> DataFrame:
+    """One module per part that calls, extends and renames what the module an eighth of the way down defines."""
+    k = F.col("p_partkey")
+    q = F.floor(k / 8)
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    root = F.array(
+        text("class K", k, ":"), F.lit("    def base(self): return self"), text("def f", k, "(x): return x"), text("def use", k, "(x): return x.run()"),
+    )
+    deep = F.array(
+        text("import src.u", q, " as up"), text("from src.u", q, " import f", q, " as g"), F.lit("h = g"), text("class K", k, "(up.K", q, "):"),
+        text("    def own", k, "(self): return self.base()"), F.lit("    def run(self): pass"), text("def f", k, "(x): return h(x)"),
+        text("def use", k, "(x):"), text("    y = K", k, "()"), text("    return y.own", k, "(), x.run(), x.own", k, "()"),
+    )
+    return f.table("part").select(text("src/u", k, ".py").alias("path"), F.array_join(F.when(k == 0, root).otherwise(deep), "\n").alias("source"))
+
+
+@query("q_native_calls", """SELECT source, target, confidence FROM (SELECT p_partkey AS k, p_partkey // 8 AS q, 'src.u' || p_partkey AS m FROM part), LATERAL (
+  SELECT m || '.K' || k AS source, 'src.u' || q || '.K' || q AS target, 'high' AS confidence WHERE k > 0
+  UNION ALL SELECT m || '.K' || k || '.own' || k, 'src.u0.K0.base', 'high' WHERE k > 0
+  UNION ALL SELECT m, 'src.u' || q || '.f' || q, 'high' WHERE k > 0 UNION ALL SELECT m || '.f' || k, 'src.u' || q || '.f' || q, 'high' WHERE k > 0
+  UNION ALL SELECT m || '.use' || k, m || '.K' || k, 'high' WHERE k > 0 UNION ALL SELECT m || '.use' || k, m || '.K' || k || '.own' || k, 'high' WHERE k > 0
+  UNION ALL SELECT m || '.use' || k, '*.run', 'low')""")
+def _(f):
+    return symbols.call_graph(cut_lineage(scope_rows(linked_modules(f).repartition(f.spark.sparkContext.defaultParallelism * 2, "path"))))[1]

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.config import Contract, ProjectConfig, config_table
-from codestrata.operators import callgraph, classfacts, contracts, events, heuristics, import_contracts, layers, relations, summaries
+from codestrata.operators import callgraph, classfacts, contracts, events, heuristics, import_contracts, layers, relations, summaries, symbols
 from codestrata.session import cut_lineage
 from codestrata.sources import files as source_files
 from codestrata.sources import tool_reports
+from codestrata.sources.python_scopes import scope_rows
 from codestrata.sources.python_syntax import stored_syntax_rows
 
 SOURCES = ("radon", "cohesion", "import_graph", "import_linter", "pyan3")
@@ -180,6 +181,7 @@ class Project:
 
     ``reports`` maps a tool's name to the path of its output. ``root`` is the
     package folder; every path becomes relative to the folder that holds it.
+    ``native`` takes contracts and calls from the source where their report is missing.
     """
 
     spark: SparkSession
@@ -187,6 +189,7 @@ class Project:
     config: ProjectConfig
     reports: dict[str, str] = field(default_factory=dict)
     contracts_passed: bool = True
+    native: bool = False
     sources: Sources = field(default_factory=Sources)
     findings: DataFrame | None = None
     candidates: DataFrame | None = None
@@ -258,8 +261,10 @@ def _import_graph(p: Project) -> None:
 @analyzer("import_linter")
 def _contracts(p: Project) -> None:
     path = p.reports.get("contracts")
-    if path is None:
+    if path is None and p.native:
         return _check_contracts(p)
+    if path is None:
+        raise FileNotFoundError("no contract report")
     lines = cut_lineage(source_files.read_lines(p.spark, path))
     p.sources.broken_imports = contracts.broken_imports(lines).withColumnRenamed("pos", "seq")
     passed = lines.select("file").distinct().withColumn("passed", F.lit(p.contracts_passed))
@@ -267,7 +272,7 @@ def _contracts(p: Project) -> None:
 
 
 def _check_contracts(p: Project) -> None:
-    """Without a report the contracts are checked on the imports of the source."""
+    """The contracts checked on the imports of the source."""
     given = p.config.contracts()
     if not given:
         raise FileNotFoundError("no contract report and no contracts to check")
@@ -294,15 +299,18 @@ def contract_relations(spark: SparkSession, given: list[Contract]) -> tuple[Data
 @analyzer("pyan3")
 def _calls(p: Project) -> None:
     path = p.reports.get("calls")
-    if path is None:
+    if path is None and not p.native:
         raise FileNotFoundError("no call-graph report")
-    parsed = cut_lineage(callgraph.parse_blocks(cut_lineage(source_files.read_lines(p.spark, path))))
-    nodes, bad = callgraph.nodes(parsed), callgraph.suspicious_blocks(parsed)
+    if path is None:
+        nodes, edges, bad = symbols.call_graph(cut_lineage(scope_rows(p.files())))
+    else:
+        parsed = cut_lineage(callgraph.parse_blocks(cut_lineage(source_files.read_lines(p.spark, path))))
+        nodes, edges, bad = callgraph.nodes(parsed), callgraph.raw_edges(parsed), callgraph.suspicious_blocks(parsed)
     if p.config.abort_on_collision:
         rate = callgraph.collision_rate(nodes, bad)
         if rate > p.config.collision_limit:
             raise ValueError(f"name collisions at {rate:.0%}, the limit is {p.config.collision_limit:.0%}")
-    p.sources.call_nodes, p.sources.call_edges, p.sources.suspicious = nodes, callgraph.raw_edges(parsed), bad
+    p.sources.call_nodes, p.sources.call_edges, p.sources.suspicious = nodes, edges.select("source", "target"), bad
 
 
 @analyzer("heuristics")

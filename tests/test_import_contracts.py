@@ -127,9 +127,11 @@ def test_project_without_a_contract_report(spark, tmp_path):
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(text)
     config = ProjectConfig.of({"package_root": "app", "layers": {"api": ["api"], "svc": ["svc"], "db": ["db"]}, "layer_order": ["api", "svc", "db"], "ignore_dirs": []})
-    report = run(Project(spark, str(root), config))
+    report = run(Project(spark, str(root), config, native=True))
     chains = {(r.origin, r.target): r.chain for r in report["contract_chains"].collect()}
     assert chains == {("svc", "api"): "app.svc.work -> app.api.views", ("db", "api"): "app.db.rows -> app.help -> app.api.views"}
     assert {(r.from_layer, r.to_layer, r.importer, r.imported) for r in report["violation_imports"].collect()} == {("svc", "api", "app.svc.work", "app.api.views"), ("db", "api", "app.db.rows", "app.api.views")}
     assert report["summary_imports"].first().broken_contracts == 1
+    # The names used in the source are resolved as well: nothing but imports here.
+    assert {r.name for r in report["call_roots"].collect()} == set() and report["call_edges"].count() == 0
     assert "LAYER_VIOLATION" in {r.type for r in report["violations"].collect()}
