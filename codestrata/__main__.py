@@ -51,7 +51,7 @@ def _arguments() -> argparse.ArgumentParser:
     parser.add_argument("--out", required=True, help="folder for the report sections")
     parser.add_argument("--report", action="append", default=[], help="complexity, maintainability, parameters, contracts or calls, as NAME=PATH")
     parser.add_argument("--contracts-failed", action="store_true", help="the contract checker returned an error code")
-    parser.add_argument("--native", action="store_true", help="take contracts and calls from the source where their report is missing")
+    parser.add_argument("--native", action="store_true", help="take complexity, maintainability, contracts and calls from the source where their report is missing")
     parser.add_argument("--texts", action="store_true", help="also write the skeleton and the tree")
     parser.add_argument("--log", help="log file")
     return parser

@@ -1,14 +1,15 @@
-"""Queries over module graphs that grow with the line items: contracts, their chains, import cycles."""
+"""Queries over module graphs that grow with the line items: contracts, their chains, import cycles, calls; metrics of source."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.operators import graph, import_contracts, symbols
-from codestrata.plans.registry import part, query
+from codestrata.operators import graph, import_contracts, native_metrics, symbols
+from codestrata.plans.registry import part, query, rounded
 from codestrata.plans.tables import Facts
 from codestrata.session import cut_lineage
+from codestrata.sources.python_metrics import metric_rows
 from codestrata.sources.python_scopes import scope_rows
 
 # Layers are nations in tiers of regions; region 4's nations must be independent; each of region 0's must not reach one outside package.
@@ -120,3 +121,43 @@ def linked_modules(f: Facts) -> DataFrame:
   UNION ALL SELECT m || '.use' || k, '*.run', 'low')""")
 def _(f):
     return symbols.call_graph(cut_lineage(scope_rows(linked_modules(f).repartition(f.spark.sparkContext.defaultParallelism * 2, "path"))))[1]
+
+
+def measured_modules(f: Facts) -> DataFrame:
+    """One module per part whose size decides its comments, sums and branches, with a closure in every other one."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    many = lambda n, fn: F.when(n > 0, F.transform(F.sequence(F.lit(1), n), fn)).otherwise(F.array().cast("array<string>"))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    sums, tests = F.floor(s / 5).cast("int") + 1, F.floor(s / 8).cast("int")
+    lines = F.concat(
+        many(s % 7, lambda i: F.lit("# note")), many(s % 3, lambda i: F.lit("")), F.array(F.lit("def f(a, b=1, *rest, key):")),
+        many(sums, lambda i: text("    x", i, " = a + ", i - 1)),
+        F.flatten(F.transform(F.filter(F.sequence(F.lit(0), tests), lambda j: j < tests), lambda j: F.array(text("    if a > ", j, ":"), F.lit("        b = b - 1")))),
+        F.when(k % 2 == 0, F.array(F.lit("    def g(): return [y for y in rest if y]"))).otherwise(F.array().cast("array<string>")),
+        F.array(F.lit("    return b"), F.lit("class K:"), F.lit("    def m(self): return self or 0")),
+    )
+    return f.table("part").select(text("src/m", k, ".py").alias("path"), F.array_join(lines, "\n").alias("source"))
+
+
+def measured_rows(f: Facts) -> DataFrame:
+    return metric_rows(measured_modules(f).repartition(f.spark.sparkContext.defaultParallelism * 2, "path"))
+
+
+# Sums n, tests m, comments c; g says whether the closure is there.
+part("met", "SELECT 'src/m' || p_partkey || '.py' AS filepath, p_size // 5 + 1 AS n, p_size // 8 AS m, p_size % 7 AS c, (p_partkey % 2 = 0)::INT AS g, p_size % 7 + p_size % 3 AS above FROM part")
+part("hal", """SELECT *, 3.0::DOUBLE * (n + 2 * m + 1) AS len, 1 + 2 * (m > 0)::INT + 1 + 1 + (m > 0)::INT + CASE WHEN m > 0 THEN greatest(n, m, 2) ELSE n END + 1 AS words,
+  (n + 2 * m + 2 + 3 + 2 * g)::DOUBLE AS logical, (n + 2 * m + 4 + g)::DOUBLE AS code, 1 + m + 2 * g + 2 AS cc FROM met""")
+part("mi_n", """SELECT filepath, greatest(0.0::DOUBLE, least(100.0::DOUBLE, (171.0::DOUBLE - 5.2::DOUBLE * ln(len * log2(words::DOUBLE)) - 0.23::DOUBLE * cc - 16.2::DOUBLE * ln(logical)
+  + 50.0::DOUBLE * sin(sqrt(2.46::DOUBLE * radians(c / code * 100.0::DOUBLE)))) * 100.0::DOUBLE / 171.0::DOUBLE)) AS x FROM hal""")
+
+
+@query("q_native_complexity", """SELECT filepath, 'f' AS name, 'function' AS type, (1 + m + 2 * g)::BIGINT AS complexity,
+    CASE WHEN 1 + m + 2 * g <= 5 THEN 'A' WHEN 1 + m + 2 * g <= 10 THEN 'B' ELSE 'C' END AS rank, (above + 1)::BIGINT AS lineno, 4::BIGINT AS parameter_count, NULL::VARCHAR AS class_name FROM met
+  UNION ALL SELECT filepath, 'm', 'method', 2, 'A', above + n + 2 * m + g + 4, 1, 'K' FROM met""")
+def _(f):
+    return native_metrics.complexity_blocks(measured_rows(f))
+
+
+@query("q_native_maintainability", f"""SELECT filepath, mi, CASE WHEN mi > 19 THEN 'A' WHEN mi > 9 THEN 'B' ELSE 'C' END AS rank FROM (SELECT filepath, {rounded('x', 2)} AS mi FROM mi_n)""")
+def _(f):
+    return native_metrics.maintainability_files(measured_rows(f))

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.config import Contract, ProjectConfig, config_table
-from codestrata.operators import callgraph, classfacts, contracts, events, heuristics, import_contracts, layers, relations, summaries, symbols
+from codestrata.operators import callgraph, classfacts, contracts, events, heuristics, import_contracts, layers, native_metrics, relations, summaries, symbols
 from codestrata.session import cut_lineage
 from codestrata.sources import files as source_files
 from codestrata.sources import tool_reports
+from codestrata.sources.python_metrics import metric_rows
 from codestrata.sources.python_scopes import scope_rows
 from codestrata.sources.python_syntax import stored_syntax_rows
 
@@ -181,7 +182,7 @@ class Project:
 
     ``reports`` maps a tool's name to the path of its output. ``root`` is the
     package folder; every path becomes relative to the folder that holds it.
-    ``native`` takes contracts and calls from the source where their report is missing.
+    ``native`` takes complexity, maintainability, contracts and calls from the source where their report is missing.
     """
 
     spark: SparkSession
@@ -228,6 +229,10 @@ class Project:
 @analyzer("radon")
 def _complexity(p: Project) -> None:
     report = p.json("complexity")
+    if report is None and p.native:
+        rows = cut_lineage(metric_rows(p.files()))
+        p.sources.blocks, p.sources.mi_files = native_metrics.complexity_blocks(rows), native_metrics.maintainability_files(rows)
+        return
     if report is None:
         raise FileNotFoundError("no complexity report")
     blocks = p.relative(tool_reports.complexity_blocks(report))
@@ -342,7 +347,7 @@ def run(project: Project, generated_at: str | None = None) -> dict[str, DataFram
 def _notes(project: Project, report: dict[str, DataFrame], generated_at: str | None) -> dict[str, DataFrame]:
     """Facts about the run, orders that readers start from, and what went wrong inside a source."""
     spark, given = project.spark, project.sources
-    facts = (generated_at, "parameters" in project.reports and given.blocks is not None, project.config == ProjectConfig())
+    facts = (generated_at, given.blocks is not None and ("parameters" in project.reports or "parameter_count" in given.blocks.columns), project.config == ProjectConfig())
     notes = {
         "run": config_table(spark, "generated_at string, parameters_used boolean, config_defaults_used boolean", [facts]),
         "functions_by_complexity": report["functions"].select("function_id", "cc").orderBy(F.col("cc").desc(), "function_id"),
