@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 
 from pyarrow import fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -23,3 +25,12 @@ def writer(path: str):
 def reader(path: str):
     store, at = opened(path)
     return store.open_input_file(at)
+
+
+def reading_tasks(rows: DataFrame, size: str, each: int = 32_000_000) -> int:
+    """Tasks for rows that each name ``size`` bytes to read.
+
+    Spark sees only the few bytes of a name and would put all of them into one task.
+    """
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-int(total) // each))

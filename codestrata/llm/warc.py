@@ -192,7 +192,8 @@ def read_records(places: DataFrame, payloads: bool = True) -> DataFrame:
         if file:
             file.close()
 
-    return places.repartitionByRange("path", "start").sortWithinPartitions("path", "start").mapInArrow(run, RECORDS)
+    tasks = stores.reading_tasks(places, places.columns[2])
+    return places.repartitionByRange(tasks, "path", "start").sortWithinPartitions("path", "start").mapInArrow(run, RECORDS)
 
 
 def _together(rows: Iterable[tuple[str, int, int]]) -> Iterator[tuple[str, list[tuple[int, int]]]]:

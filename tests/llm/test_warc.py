@@ -3,6 +3,7 @@ import zipfile
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from codestrata.llm import warc, zips
 from codestrata.session import Scratch
@@ -70,3 +71,13 @@ def test_no_pages(spark):
         records = warc.with_originals(scratch, spark.createDataFrame([], "page_id long, url string, html string"), "page_id", "url", "html")
         paths = scratch.keep(warc.write_packages(records, scratch.path("zips")))
         assert warc.read_records(scratch.keep(warc.record_places(paths))).count() == 0
+
+
+def test_many_tasks_read_one_package(spark):
+    pages = spark.range(300).selectExpr("id as page_id", "concat('http://x/', id) as url", "repeat('z', 50) || id as html").coalesce(1)
+    with Scratch(spark) as scratch:
+        records = warc.with_originals(scratch, pages, "page_id", "url", "html").coalesce(1)
+        paths = scratch.keep(warc.write_packages(records, scratch.path("zips")))
+        assert paths.count() == 1
+        read = warc.read_records(scratch.keep(warc.record_places(paths)))
+        assert read.select(F.spark_partition_id()).distinct().count() > 1
