@@ -9,7 +9,7 @@ its first document, the last separator before it gives that document's start.
 Defined results: a null or empty text is a document of no tokens; tokens behind the last
 separator are one more document with ``closed`` false; a file without tokens has no
 documents; repeated rows are separate documents; a file whose size is no multiple of the
-token width raises an error; other columns are not read. Texts are encoded whole.
+token width raises an error, as do ids that do not fit it or a separator that is a token; other columns are not read. Texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -42,6 +42,10 @@ def write(docs: DataFrame, folder: str, id: str = "doc_id", text: str = "text",
     File names are new in each attempt; only those in the returned rows belong to the result.
     """
     vocabulary = model_bytes(docs.sparkSession, ranks)
+    most = np.iinfo(KIND).max
+    ids = {int(line.split()[1]) for line in vocabulary.splitlines() if line}
+    if max(ids, default=0) > most or not 0 <= separator <= most or separator in ids:
+        raise ValueError(f"the vocabulary and the separator {separator} need ids of at most {most} that differ")
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +109,7 @@ def blocks(paths: DataFrame, separator: int = SEPARATOR, size: int = BLOCK_BYTES
 
     known = paths.mapInArrow(lengths, "path string, bytes long").where("bytes > 0")
     cut = known.select("path", "bytes", F.explode(F.sequence(F.lit(0), F.floor((F.col("bytes") - 1) / step))).alias("block"))
-    return cut.repartition("path", "block").mapInArrow(scan, "path string, block long, tokens long, separators array<long>")
+    return cut.repartition(stores.reading_tasks(known, "bytes"), "path", "block").mapInArrow(scan, "path string, block long, tokens long, separators array<long>")
 
 
 def documents(scanned: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import base64
 import numpy as np
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from codestrata.llm import models, token_files
 from codestrata.session import Scratch
@@ -41,3 +42,17 @@ def test_torn_file(spark, tmp_path):
     (tmp_path / "x").write_bytes(b"abc")
     with pytest.raises(Exception, match="not a multiple"):
         token_files.blocks(spark.createDataFrame([(f"{tmp_path}/x",)], "path string")).collect()
+
+
+def test_ids_that_do_not_fit(spark, no_docs, tmp_path):
+    with pytest.raises(ValueError, match="differ"):
+        token_files.write(no_docs, f"file://{tmp_path}", separator=7)
+    (tmp_path / "wide.tiktoken").write_bytes(base64.b64encode(b"a") + b" 70000\n")
+    with pytest.raises(ValueError, match="at most 65535"):
+        token_files.write(no_docs, f"file://{tmp_path}", ranks=str(tmp_path / "wide.tiktoken"))
+
+
+def test_many_tasks_read_one_file(spark, tmp_path):
+    (tmp_path / "x").write_bytes(np.arange(4000, dtype="<u2").tobytes())
+    scanned = token_files.blocks(spark.createDataFrame([(f"file://{tmp_path}/x",)], "path string"), separator=0, size=64)
+    assert scanned.select(F.spark_partition_id()).distinct().count() > 1
