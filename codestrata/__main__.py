@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from codestrata.config import ProjectConfig
 from codestrata.plans.report import Project, run
 from codestrata.plans.review import review, review_settings, review_status
+from codestrata.session import SKEW
 from codestrata.sources.files import scan_names
 from codestrata.sources.sinks import TREE_SKIP, skeleton_blocks, skeletons, tree_lines, write_report
 
@@ -22,7 +23,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s", filename=args.log)
     logging.captureWarnings(True)
     config = ProjectConfig.read(args.config)
-    session = spark or SparkSession.builder.appName("codestrata").getOrCreate()
+    session = spark or SparkSession.builder.appName("codestrata").config(map=SKEW).getOrCreate()
     root = f"{args.target_dir.rstrip('/')}/{config.package_root}" if config.package_root else args.target_dir
     project = Project(session, root, config, dict(r.split("=", 1) for r in args.report), not args.contracts_failed, args.native)
     sections = run(project, datetime.now(tz=timezone.utc).isoformat())

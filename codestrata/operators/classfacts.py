@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.names import path_to_module
 from codestrata.operators.cohesion import lcom4
 from codestrata.operators.relations import lcom4_normalised
-from codestrata.session import cut_lineage
+from codestrata.session import cut_lineage, merged
 
 CLASS = ["path", "cls"]
 METHOD = ["path", "cls", "meth"]
@@ -265,21 +267,22 @@ def ancestors(rows: DataFrame) -> DataFrame:
     links = cut_lineage(bases(rows).where("base <> '<dynamic>'").select(F.col("path").alias("at_path"), F.col("cls").alias("at_cls"), "base").distinct())
     anywhere, here = base_index(heads)
     index = cut_lineage(anywhere), cut_lineage(here)
-    visited = heads.select(*CLASS, F.col("class_name").alias("base"))
+    visited = [heads.select(*CLASS, F.col("class_name").alias("base"))]
     front = heads.select(*CLASS, F.col("path").alias("at_path"), F.col("cls").alias("at_cls"))
-    found = None
+    found: list[DataFrame] = []
     while True:
-        asked = front.join(links, ["at_path", "at_cls"]).select(*CLASS, "base").distinct().join(visited, [*CLASS, "base"], "left_anti")
+        known = reduce(DataFrame.unionByName, visited)
+        asked = front.join(links, ["at_path", "at_cls"]).select(*CLASS, "base").distinct().join(known, [*CLASS, "base"], "left_anti")
         step = cut_lineage(resolve_base(asked, index))
         if step.isEmpty():
             break
-        visited = visited.unionByName(step.select(*CLASS, "base"))
+        visited = merged([*visited, step.select(*CLASS, "base")])
         reached = step.where("found_path is not null").select(*CLASS, "found_path", "found_cls")
-        found = reached if found is None else found.unionByName(reached)
+        found = merged([*found, reached])
         front = reached.withColumnsRenamed({"found_path": "at_path", "found_cls": "at_cls"})
-    if found is None:
+    if not found:
         return heads.select(*CLASS, F.col("path").alias("found_path"), F.col("cls").alias("found_cls")).limit(0)
-    return found.distinct()
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def init_attributes(rows: DataFrame, methods: DataFrame) -> DataFrame:

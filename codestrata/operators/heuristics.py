@@ -164,15 +164,18 @@ def merge_candidates(rows: DataFrame) -> DataFrame:
     """Candidates folded on (path, class): reasons united, highest priority, mixed types become ``both``.
 
     Reasons are made distinct before they are collected, so a group holds at
-    most the known rules. A lone candidate keeps its reasons as they are.
+    most the known rules. A lone candidate keeps its reasons as they are. Where
+    rows know the place of their class, the first one's stands.
     """
     keys = ["path", "class_name"]
+    placed = [F.min_by("cls", "place").alias("cls"), F.min("place").alias("place")] if {"cls", "place"} <= set(rows.columns) else []
     heads = rows.groupBy(*keys).agg(
         F.max("priority").alias("priority"), F.min("candidate_type").alias("lo"), F.max("candidate_type").alias("hi"),
-        F.count(F.lit(1)).alias("n"), F.min("reasons").alias("only"),
+        F.count(F.lit(1)).alias("n"), F.min("reasons").alias("only"), *placed,
     )
     united = rows.select(*keys, F.explode("reasons").alias("r")).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("r")).alias("all"))
     merged = F.when(F.col("n") > 1, F.coalesce("all", F.array().cast("array<string>"))).otherwise(F.col("only"))
     return heads.join(united, keys, "left").select(
-        *keys, merged.alias("reasons"), "priority", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("both").alias("candidate_type")
+        *keys, merged.alias("reasons"), "priority", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("both").alias("candidate_type"),
+        *(["cls", "place"] if placed else []),
     )

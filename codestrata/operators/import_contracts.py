@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.session import cut_lineage
+from codestrata.session import cut_lineage, merged
 
 STATE = ["contract", "origin", "module"]
 PAIR = ["contract", "origin", "target"]
@@ -60,12 +60,14 @@ def breaches(imports: DataFrame, groups: DataFrame, pairs: DataFrame, modes: Dat
     starts = placed.join(pairs.select("contract", F.col("origin").alias("grp")).distinct(), ["contract", "grp"], "left_semi")
     first = starts.select("contract", F.col("grp").alias("origin"), "module", F.lit(None).cast("string").alias("pred"))
     levels, hits = [cut_lineage(first)], []
+    seen = levels[-1:]
     open_pairs = pairs
     while True:
-        reached = _step(levels, edges, placed, modes, open_pairs, ignored)
+        reached = _step(levels, seen, edges, placed, modes, open_pairs, ignored)
         if reached.isEmpty():
             break
         levels.append(reached)
+        seen = merged([*seen, reached])
         goal = placed.select("contract", "module", F.col("grp").alias("target"))
         hit = reached.join(goal, ["contract", "module"]).join(open_pairs, PAIR, "left_semi").groupBy(*PAIR).agg(F.min("module").alias("end"))
         hits.append(cut_lineage(hit.withColumn("chain_length", F.lit(len(levels) - 1).cast("long"))))
@@ -118,7 +120,7 @@ def _kept(rows: DataFrame, ignored: DataFrame | None) -> DataFrame:
     return rows if ignored is None else rows.join(ignored, ["contract", "importer", "imported"], "left_anti")
 
 
-def _step(levels: list[DataFrame], edges: DataFrame, placed: DataFrame, modes: DataFrame, open_pairs: DataFrame, ignored: DataFrame | None) -> DataFrame:
+def _step(levels: list[DataFrame], seen: list[DataFrame], edges: DataFrame, placed: DataFrame, modes: DataFrame, open_pairs: DataFrame, ignored: DataFrame | None) -> DataFrame:
     """The modules first reached in this round, each with its smallest predecessor."""
     frontier = levels[-1].select(*STATE).join(open_pairs.select("contract", "origin").distinct(), ["contract", "origin"], "left_semi")
     if len(levels) > 1:
@@ -126,8 +128,7 @@ def _step(levels: list[DataFrame], edges: DataFrame, placed: DataFrame, modes: D
         frontier = inner.where("grp is null or through").select(*STATE)
     walked = _kept(frontier.withColumnRenamed("module", "importer").join(edges, "importer"), ignored)
     fresh = walked.groupBy("contract", "origin", F.col("imported").alias("module")).agg(F.min("importer").alias("pred"))
-    seen = reduce(DataFrame.unionByName, (level.select(*STATE) for level in levels))
-    return cut_lineage(fresh.join(seen, STATE, "left_anti"))
+    return cut_lineage(fresh.join(reduce(DataFrame.unionByName, seen).select(*STATE), STATE, "left_anti"))
 
 
 def _chains(ends: DataFrame, levels: list[DataFrame]) -> DataFrame:

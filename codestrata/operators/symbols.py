@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.session import cut_lineage
+from codestrata.session import cut_lineage, merged
 
 STATE = ["id", "at", "sym", "rest"]
 # A chain of parts that grows beyond this names itself in a ring and stands for nothing.
@@ -58,10 +58,10 @@ def _resolved(start: DataFrame, sees: DataFrame, binds: DataFrame, bases: DataFr
     seen, ends = [], [start.limit(0).select("id", "sym", F.col("sym").alias("any"))]
     fresh = cut_lineage(start)
     while not fresh.isEmpty():
-        seen.append(fresh)
+        seen = merged([*seen, fresh])
         moved = cut_lineage(_moved(fresh, sees, binds, bases, kinds, modules))
         over = F.col("any").isNotNull() | (F.col("sym").isNotNull() & (F.size("rest") == 0))
-        ends.append(moved.where(over).select("id", "sym", "any"))
+        ends = merged([*ends, moved.where(over).select("id", "sym", "any")])
         going = moved.where(~over & (F.size("rest") <= MOST_PARTS)).select(*STATE).distinct()
         same = reduce(Column.__and__, [F.col(f"g.{c}").eqNullSafe(F.col(f"k.{c}")) for c in STATE])
         fresh = cut_lineage(going.alias("g").join(reduce(DataFrame.unionByName, seen).alias("k"), same, "left_anti"))

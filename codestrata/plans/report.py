@@ -215,8 +215,15 @@ class Project:
         return self._methods
 
     def json(self, name: str) -> DataFrame | None:
+        """The saved report of a tool. One that only says what went wrong is an error of its source."""
         path = self.reports.get(name)
-        return self.spark.read.text(path, wholetext=True).withColumnRenamed("value", "json") if path else None
+        if path is None:
+            return None
+        report = self.spark.read.text(path, wholetext=True).withColumnRenamed("value", "json")
+        broken = tool_reports.source_status(report.select(F.lit(name).alias("source"), "json")).where("not ok").first()
+        if broken is not None:
+            raise ValueError(f"the {name} report is no result: {broken['error'] or 'not a JSON object'}")
+        return report
 
     def relative(self, df: DataFrame) -> DataFrame:
         """Tool paths cut down to start at the package folder, with forward slashes."""
@@ -324,7 +331,7 @@ def _rules(p: Project) -> None:
     project = cut_lineage(classfacts.project_classes(classfacts.class_facts(rows, methods)))
     found = cut_lineage(heuristics.findings(rows, project, methods))
     p.findings = heuristics.merge_findings(found)
-    p.candidates = heuristics.candidates(project, found)
+    p.candidates = heuristics.merge_candidates(heuristics.candidates(project, found))
 
 
 def run(project: Project, generated_at: str | None = None) -> dict[str, DataFrame]:

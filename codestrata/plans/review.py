@@ -91,7 +91,7 @@ def review_status(config: ProjectConfig, candidates: DataFrame | None) -> tuple[
     if not config.enrichment.get("enabled", False):
         return "disabled", None
     if candidates is None:
-        return "skipped", "Heuristics context missing"
+        return "skipped", "the class rules gave no candidates table"
     if candidates.isEmpty():
-        return "skipped", "No OCPLSP candidates identified"
+        return "skipped", "no class needs a review"
     return "ready", None

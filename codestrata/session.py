@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import uuid
+from functools import reduce
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return _written(df, f"{scratch_folder(df.sparkSession)}/{uuid.uuid4().hex}")
 
 
+def merged(parts: list[DataFrame], most: int = 8) -> list[DataFrame]:
+    """The tables of a loop's rounds, written together once they are many, so that a round reads few."""
+    return parts if len(parts) <= most else [cut_lineage(reduce(DataFrame.unionByName, parts))]
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """The folder for written tables, the same on every master.
 

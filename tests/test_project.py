@@ -105,6 +105,17 @@ def test_missing_sources_are_named_and_the_rest_goes_on(spark, tree):
     assert report["violations"].count() > 0
 
 
+def test_report_that_only_says_what_went_wrong(spark, tree, tmp_path):
+    (tmp_path / "cc.json").write_text('{"error": "crashed"}')
+    (tmp_path / "mi.json").write_text("[1]")
+    project = Project(spark, str(tree / "app"), ProjectConfig(), {"complexity": str(tmp_path / "cc.json"), "maintainability": str(tmp_path / "mi.json")})
+    with pytest.raises(ValueError, match="complexity report is no result: .*crashed"):
+        project.json("complexity")
+    with pytest.raises(ValueError, match="not a JSON object"):
+        project.json("maintainability")
+    assert project.json("parameters") is None
+
+
 def test_command_line_writes_the_same_report_with_other_partitions(spark, tree, done):
     given = ["--target-dir", str(tree), "--config", str(tree / "config.json"), "--out", str(tree / "out"), "--contracts-failed", "--texts"]
     for name, file in _reports(tree):

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -320,3 +321,14 @@ def test_spread_does_not_change_rows(facts, spark):
     given = spark.createDataFrame([("l.py", LCOM), ("k.py", KINDS)], "path string, source string")
     assert syntax_rows(given).exceptAll(syntax_rows(given, spread=True)).count() == 0
     assert syntax_rows(given).where(F.col("kind") == "class").count() == 24
+
+
+@pytest.mark.parametrize("levels", [20, pytest.param(200, marks=pytest.mark.skipif("CHECK_ALL" not in os.environ, reason="long; CHECK_ALL=1 runs it"))])
+def test_deep_hierarchy(facts, levels):
+    source = "class C0:\n    def __init__(self): self.a0 = 1\n" + "".join(f"class C{k}(C{k - 1}):\n    def __init__(self): self.a{k} = 1\n" for k in range(1, levels))
+    rows, methods, classes, _ = facts({"a.py": source})
+    got = {}
+    names = {r.cls: r.class_name for r in classes.collect()}
+    for r in cf.inherited_attributes(rows, cf.init_attributes(rows, methods)).collect():
+        got.setdefault(names[r.cls], set()).add(r.attr)
+    assert got == {f"C{k}": {f"a{j}" for j in range(k)} for k in range(1, levels)}
