@@ -17,7 +17,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 QUICK = (
     "q_norm_functions", "q_file_full_outer", "q_asof_method_class", "q_cross_functions", "q_prefix_longest", "q_layer_edges", "q_stability", "q_slp",
     "q_event_dedup", "q_edge_cascade", "q_text_suspicious", "q_contract_parse", "q_lcom4", "q_class_role", "q_skeleton", "q_tree", "q_cache_key",
-    "q_budget_gate", "q_json_extract",
+    "q_budget_gate", "q_json_extract", "q_contract_chains", "q_native_complexity", "q_native_maintainability",
 )
 
 
