@@ -13,11 +13,12 @@ shingles first and empty ones last. If at most d of m blocks differ, the first b
 both agree in is among the first d + 1 of either, so only those are sent. A block
 travels as the XOR of 64-bit keys of its set bits.
 
-No step emits all pairs of a group. Equal sets are one node. Tasks first join within
+Equal sets are one node, so copies give no pairs. Tasks first join within
 their own rows and forward one leader. A block shared by more than ``SMALL`` nodes gives
 pairs with its leader and between neighbours only; what they link is contracted, and
 only blocks still shared by several components are compared further, chunk against
-chunk, across components, emitting pairs that pass the Hamming bound.
+chunk, across components, emitting pairs that pass the Hamming bound. In a large group of
+sets just under the bound nearly all pairs pass it and are verified one by one.
 
 Defined results: texts without words and null texts have no shingles, link with nothing
 and are
