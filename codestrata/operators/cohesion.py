@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.operators.graph import connected_components
+from codestrata.operators.graph import connected_components, with_least
 
 
 def attribute_edges(uses: DataFrame) -> DataFrame:
@@ -14,8 +14,7 @@ def attribute_edges(uses: DataFrame) -> DataFrame:
     One edge per use joins everything that sharing an attribute would join, so
     an attribute used by a third of all methods adds no pairs.
     """
-    lowest = uses.groupBy("class_id", "attr").agg(F.min("method_id").alias("v"))
-    return uses.join(lowest, ["class_id", "attr"]).select(F.col("method_id").alias("u"), "v")
+    return with_least(uses, ["class_id", "attr"], "method_id", "v").select(F.col("method_id").alias("u"), "v")
 
 
 def lcom4(methods: DataFrame, uses: DataFrame, calls: DataFrame | None = None, definitions: DataFrame | None = None) -> DataFrame:

@@ -3,6 +3,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from codestrata.operators import graph
 
@@ -45,6 +46,34 @@ def test_components(spark, seed):
     assert {r.node: r.component for r in got} == want
 
 
+@pytest.fixture
+def wide(spark):
+    """Sixteen shuffle tasks that adaptive execution leaves as they are, and no broadcast."""
+    own = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_a_hub_is_spread_over_tasks(wide):
+    edges = wide.range(40_000).selectExpr("20000 as u", "id as v")
+    placed = graph.with_least(edges, ["u"], "v", "m")
+    sizes = sorted(r["count"] for r in placed.groupBy(F.spark_partition_id()).count().collect())
+    assert sum(sizes) == 40_000 and len(sizes) >= 12 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    assert [tuple(r) for r in placed.select("m").distinct().collect()] == [(0,)]
+    got = graph.connected_components(edges)
+    assert got.count() == 40_000 and [r.component for r in got.select("component").distinct().collect()] == [0]
+
+
+def test_least_keeps_repeated_rows_and_further_columns(spark):
+    rows = [("a", 1, 5, "x"), ("a", 1, 5, "x"), ("a", 1, 3, "y"), ("a", 2, 9, None)]
+    got = graph.with_least(spark.createDataFrame(rows, "k string, l int, v int, t string"), ["k", "l"], "v", "m").collect()
+    assert sorted((r.l, r.v, r.t or "", r.m) for r in got) == [(1, 3, "y", 3), (1, 5, "x", 3), (1, 5, "x", 3), (2, 9, "", 9)]
+
+
 def test_strong_components(spark):
     rng = random.Random(5)
     edges = [(f"n{rng.randrange(30):02}", f"n{rng.randrange(30):02}") for _ in range(45)] + [("a", "b"), ("b", "c"), ("c", "a"), ("c", "x"), ("x", "y")]
