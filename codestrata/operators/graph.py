@@ -13,10 +13,11 @@ from codestrata.session import cut_lineage
 PARTS = 64
 
 
-def _mark(df: DataFrame) -> tuple:
-    """A fingerprint of an edge set: row count plus an order-free hash sum."""
+def _marked(df: DataFrame) -> tuple[DataFrame, dict]:
+    """``df`` written, with a fingerprint that comes with the write: the row count and an order-free sum of hashes."""
+    mark = Observation()
     h = F.xxhash64(*df.columns).cast("decimal(38,0)")
-    return tuple(df.agg(F.count(F.lit(1)), F.sum(h)).first())
+    return cut_lineage(df.observe(mark, F.count(F.lit(1)).alias("n"), F.sum(h).alias("sum"))), mark.get
 
 
 def with_least(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -39,21 +40,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     smallest known id in O(log^2 n) rounds and the edge count never grows. A
     hub's edges are spread, see ``with_least``.
     """
-    current = cut_lineage(
-        edges.where(F.col("u") != F.col("v"))
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .distinct()
-    )
-    before = _mark(current)
-    while before[0]:
+    apart = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    current, before = _marked(apart.distinct())
+    while before["n"]:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = with_least(both, ["u"], "v", "m").where(F.col("v") > F.col("u"))
         large = large.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where(F.col("u") != F.col("v")).distinct()
         # Each row hands on two edges, so the joined rows are made only once.
         moved = with_least(large, ["u"], "v", "m").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         small = moved.select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct()
-        current = cut_lineage(small)
-        after = _mark(current)
+        current, after = _marked(small)
         if after == before:
             break
         before = after
@@ -130,11 +126,8 @@ def _summits(edges: DataFrame, seed: int) -> tuple[DataFrame, int]:
         for _ in range(2):
             pushed = looped.join(moved.withColumnRenamed("node", "source"), "source")
             moved = pushed.groupBy(F.col("target").alias("node")).agg(F.max("top").alias("top"))
-        # The fingerprint comes with the write, so a step is one job.
-        mark = Observation()
-        h = F.xxhash64("node", "top").cast("decimal(38,0)")
-        tops, jobs = cut_lineage(moved.observe(mark, F.count(F.lit(1)).alias("n"), F.sum(h).alias("sum"))), jobs + 1
-        after = mark.get
+        tops, after = _marked(moved)
+        jobs += 1
         if after == before:
             return tops, jobs
         before = after
