@@ -12,7 +12,7 @@ from codestrata.config import Contract, ProjectConfig, config_table
 from codestrata.operators import callgraph, classfacts, contracts, events, heuristics, import_contracts, layers, native_metrics, relations, summaries, symbols
 from codestrata.session import cut_lineage
 from codestrata.sources import files as source_files
-from codestrata.sources import tool_reports
+from codestrata.sources import json_parts, tool_reports
 from codestrata.sources.python_metrics import metric_rows
 from codestrata.sources.python_scopes import scope_rows
 from codestrata.sources.python_syntax import stored_syntax_rows
@@ -215,14 +215,14 @@ class Project:
         return self._methods
 
     def json(self, name: str) -> DataFrame | None:
-        """The saved report of a tool. One that only says what went wrong is an error of its source."""
+        """The entries of a tool's saved report. One that only says what went wrong is an error of its source."""
         path = self.reports.get(name)
         if path is None:
             return None
-        report = self.spark.read.text(path, wholetext=True).withColumnRenamed("value", "json")
-        broken = tool_reports.source_status(report.select(F.lit(name).alias("source"), "json")).where("not ok").first()
+        report = cut_lineage(json_parts.entries(self.spark, path))
+        broken = tool_reports.entries_error(report, lists=name == "parameters")
         if broken is not None:
-            raise ValueError(f"the {name} report is no result: {broken['error'] or 'not a JSON object'}")
+            raise ValueError(f"the {name} report is no result: {broken}")
         return report
 
     def relative(self, df: DataFrame) -> DataFrame:
@@ -242,13 +242,13 @@ def _complexity(p: Project) -> None:
         return
     if report is None:
         raise FileNotFoundError("no complexity report")
-    blocks = p.relative(tool_reports.complexity_blocks(report))
+    blocks = p.relative(tool_reports.complexity_entries(report))
     counts = p.json("parameters")
     if counts is not None:
-        blocks = relations.attach_parameter_counts(blocks.withColumn("parameter_count", F.lit(None).cast("long")), p.relative(tool_reports.parameter_counts(counts)))
+        blocks = relations.attach_parameter_counts(blocks.withColumn("parameter_count", F.lit(None).cast("long")), p.relative(tool_reports.parameter_entries(counts)))
     p.sources.blocks = blocks
     mi = p.json("maintainability")
-    p.sources.mi_files = p.relative(tool_reports.maintainability_files(mi)) if mi is not None else None
+    p.sources.mi_files = p.relative(tool_reports.maintainability_entries(mi)) if mi is not None else None
 
 
 @analyzer("cohesion")
