@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 A batch's texts are cut into units that no piece crosses (runs of spaces with the
-characters behind them). The distinct new units are concatenated, a suffix array orders
-all positions by the next 16 characters, which is the longest piece, and binary search
+characters behind them). Texts are handled in runs of half a megabyte, also inside one text, cut
+between units. A run's distinct new units are concatenated, a suffix array orders
+all positions by as many characters as the longest piece has, and binary search
 gives every piece's range of occurrences. Each occurrence is an edge from its start to
 its end. Edges are sorted by position, and segmentations relax over them: a BPE model
 applies, in each unit, the edge of the best score between two neighbouring segments
@@ -13,8 +14,8 @@ pieces and bytes and drops the prefix space, which returns the text exactly, exc
 the space mark U+2581 itself decodes as a space.
 
 Defined results: a null text has null ids and decodes to null; an empty text has no ids;
-repeated rows are encoded alike; units of any length are encoded whole; an empty table
-gives no rows; ``encode`` replaces a column that has the name of the new one.
+repeated rows are encoded alike; units of any length are encoded whole, and a unit longer than
+a run is held in one; an empty table gives no rows; ``encode`` replaces a column that has the name of the new one.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -33,11 +35,13 @@ from codestrata.llm import words as W
 from codestrata.llm.models import MODEL, model_bytes
 
 SPACE = "▁"
-LONGEST = 16  # characters in a piece
 # Longer units are merged one by one with a heap, as rounds over all units would be as many as characters.
 SHORT = 64
-# Bytes of text whose new units are indexed together.
-SLICE = 6_000_000
+# Characters of text whose new units are indexed together, and bytes of text whose ids become one batch.
+RUN = 500_000
+SLICE = 2_000_000
+# Characters of units that a task remembers.
+REMEMBERED = 8_000_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -70,7 +74,7 @@ def decode(rows: DataFrame, ids: str = "ids", text: str = "text", model: str = M
 
 def _small(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
     """Slices of about ``SLICE`` bytes of text."""
-    sizes = np.cumsum([len(t or b"") for t in W.texts(batch.column(at))])
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
     cuts = [0, *(np.flatnonzero(np.diff(sizes // SLICE)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
@@ -114,21 +118,47 @@ class Encoder(_Model):
         if not self._ready:
             self._load()
             self._index()
-        texts = column.to_pylist()
-        if len(self.units) > W.VOCABULARY:
-            self._forget()
-        split = [self.cut.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        self._learn(set(chain.from_iterable(split)).difference(self.units))
-        at = np.fromiter(map(self.units.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=sum(map(len, split)))
-        lengths = np.diff(self.ends)[at]
-        before = np.concatenate([[0], np.cumsum(lengths)])
-        values = self.ids[np.repeat(self.ends[at] - before[:-1], lengths) + np.arange(before[-1])]
-        offsets = before[np.concatenate([[0], np.cumsum(list(map(len, split)), dtype=np.int64)])]
-        null = np.array([t is None for t in texts] + [False])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=null if null.any() else None), pa.array(values, pa.int32()))
+        counts, values = [], []
+        for texts in self._runs(column):
+            if len(self.units) > W.VOCABULARY or self.remembered > REMEMBERED:
+                self._forget()
+            split = [self.cut.findall(t) for _, t in texts]
+            self._learn(set(chain.from_iterable(split)).difference(self.units))
+            at = np.fromiter(map(self.units.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=sum(map(len, split)))
+            lengths = np.diff(self.ends)[at]
+            before = np.concatenate([[0], np.cumsum(lengths)])
+            values.append(self.ids[np.repeat(self.ends[at] - before[:-1], lengths) + np.arange(before[-1])])
+            stops = before[np.cumsum(list(map(len, split)), dtype=np.int64)]
+            counts.append((np.array([row for row, _ in texts]), np.diff(stops, prepend=0)))
+        per_row = np.zeros(len(column), np.int64)
+        for rows, n in counts:
+            np.add.at(per_row, rows, n)
+        offsets = np.concatenate([[0], np.cumsum(per_row)])
+        null = np.append(column.is_null().to_numpy(zero_copy_only=False), False)
+        made = np.concatenate(values) if values else np.zeros(0, np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=null if null.any() else None), pa.array(made, pa.int32()))
+
+    def _runs(self, column: pa.Array) -> Iterator[list[tuple[int, str]]]:
+        """Parts of texts, spaces marked, in lists of about ``RUN`` characters; a text is cut only between units."""
+        run, size = [], 0
+        for row, value in enumerate(column):
+            text = value.as_py()
+            start = 0
+            while text and start < len(text):
+                between = self.between.search(text, start + RUN - size) if len(text) - start > RUN - size else None
+                stop = between.start() if between else len(text)
+                run.append((row, (SPACE if start == 0 else "") + text[start:stop].replace(" ", SPACE)))
+                size += stop - start
+                start = stop
+                if size >= RUN:
+                    yield run
+                    run, size = [], 0
+        if run:
+            yield run
 
     def _forget(self) -> None:
         self.units: dict[str, int] = {}
+        self.remembered = 0
         self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _index(self) -> None:
@@ -136,22 +166,28 @@ class Encoder(_Model):
         self._forget()
         inner = any(SPACE in n.lstrip(SPACE) or "\n" in n for n in map(self.names.__getitem__, self.pieces))
         self.cut = re.compile(r"(?s).+" if inner else rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+        # Places where one unit always ends: ahead of a line break, and ahead of spaces behind something else.
+        self.between = re.compile(r"(?!)" if inner else rf"(?=\n)|(?<=[^ {SPACE}])(?=[ {SPACE}])")
         chars = sorted({c for i in self.pieces for c in self.names[i]})
         self.code = np.zeros(0x110000, np.uint16)
         self.code[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
         self.single = {self.names[i]: i for i in self.pieces if len(self.names[i]) == 1}
         self.of_code = np.array([-1] + [self.single.get(c, -1) for c in chars])
         # In order of their codes, so that one search continues where the last ended.
-        many = sorted((i for i in self.pieces if 1 < len(self.names[i]) <= LONGEST), key=lambda i: self.names[i])
+        many = sorted((i for i in self.pieces if len(self.names[i]) > 1), key=lambda i: self.names[i])
+        # Keys are compared four characters at a time, and ``place`` is above every length.
+        self.longest = max((len(self.names[i]) for i in many), default=2)
+        self.width = -(-self.longest // 4) * 4
+        self.place = 1 << self.longest.bit_length()
         self.many = np.array(many)
         self.length = np.array([len(self.names[i]) for i in many])
-        codes = np.zeros((len(many), LONGEST), ">u2")
-        high = np.full((len(many), LONGEST), 0xFFFF, ">u2")
+        codes = np.zeros((len(many), self.width), ">u2")
+        high = np.full((len(many), self.width), 0xFFFF, ">u2")
         for row, i in enumerate(many):
             made = self.code[[ord(c) for c in self.names[i]]]
             codes[row, : made.size] = made
             high[row, : made.size] = made
-        self.low, self.high = (x.view(f"S{2 * LONGEST}").ravel() for x in (codes, high))
+        self.low, self.high = (x.view(f"S{2 * self.width}").ravel() for x in (codes, high))
         self.rank = np.empty(len(self.names), np.int64)
         self.rank[np.argsort(-self.score, kind="stable")] = np.arange(len(self.names))
         self.by_rank = np.argsort(self.rank)
@@ -172,36 +208,35 @@ class Encoder(_Model):
         made = self._named(text, begin, stop, edges, ranks)
         count = np.bincount(unit[np.repeat(begin, list(map(len, made)))], minlength=sizes.size)
         first = len(self.ends) - 1
+        self.remembered += text.size
         self.units.update(zip(units, range(first, first + len(units)), strict=True))
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(count)])
         self.ids = np.concatenate([self.ids, np.fromiter((i for ids in made for i in ids), np.int32)])
 
     def _edges(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Occurrences of pieces of two characters or more: ``position * 32 + length``, sorted, and their ranks."""
+        """Occurrences of pieces of two characters or more: ``position * place + length``, sorted, and their ranks."""
         # A zero between units keeps matches inside them; ``shift`` maps places back.
         shift = np.zeros(text.size, np.int64)
         shift[starts] = 1
         shift = np.cumsum(shift) - 1
-        codes = np.zeros(text.size + starts.size + LONGEST, ">u2")
+        codes = np.zeros(text.size + starts.size + self.width, ">u2")
         codes[np.arange(text.size) + shift] = self.code[text]
-        suffix = np.lib.stride_tricks.sliding_window_view(codes, LONGEST)[np.arange(text.size) + shift]
-        keys = np.ascontiguousarray(suffix).view(">u8").astype(np.uint64)
-        order = np.lexsort(keys.T[::-1])
-        ordered = np.ascontiguousarray(suffix[order]).view(f"S{2 * LONGEST}").ravel()
+        suffix = np.lib.stride_tricks.sliding_window_view(codes, self.width)[np.arange(text.size) + shift]
+        order = np.lexsort(suffix.view(">u8").astype(np.uint64).T[::-1])
+        ordered = suffix[order].view(f"S{2 * self.width}").ravel()
         low, high = np.searchsorted(ordered, self.low, "left"), np.searchsorted(ordered, self.high, "right")
         found = high - low
         piece = np.repeat(np.arange(self.many.size), found)
         at = order[np.repeat(low - (np.cumsum(found) - found), found) + np.arange(found.sum())]
-        edges = at * 32 + self.length[piece]
+        edges = at * self.place + self.length[piece]
         by_place = np.argsort(edges, kind="stable")
         return edges[by_place], self.rank[self.many[piece[by_place]]]
 
-    @staticmethod
-    def _rank_of(start: np.ndarray, stop: np.ndarray, edges: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    def _rank_of(self, start: np.ndarray, stop: np.ndarray, edges: np.ndarray, ranks: np.ndarray) -> np.ndarray:
         length = stop - start
-        want = start * 32 + length
+        want = start * self.place + length
         at = np.minimum(np.searchsorted(edges, want), max(edges.size - 1, 0))
-        return np.where((length <= LONGEST) & (edges[at] == want), ranks[at], NONE) if edges.size else np.full(start.size, NONE)
+        return np.where((length <= self.longest) & (edges[at] == want), ranks[at], NONE) if edges.size else np.full(start.size, NONE)
 
     def _rounds(self, begin: np.ndarray, unit: np.ndarray, size: int, edges: np.ndarray, ranks: np.ndarray) -> np.ndarray:
         """Segment starts of the short units: in each round every unit takes its best edge, the leftmost of equals."""
@@ -229,7 +264,7 @@ class Encoder(_Model):
 
     def _heap(self, start: int, size: int, edges: np.ndarray, ranks: np.ndarray) -> np.ndarray:
         """Segment starts of one long unit."""
-        a, b = np.searchsorted(edges, [start * 32, (start + size) * 32])
+        a, b = np.searchsorted(edges, [start * self.place, (start + size) * self.place])
         known = dict(zip(edges[a:b].tolist(), ranks[a:b].tolist(), strict=True))
         after = {p: p + 1 for p in range(start, start + size)}
         before = {p + 1: p for p in range(start, start + size)}
@@ -237,7 +272,7 @@ class Encoder(_Model):
 
         def offer(p: int) -> None:
             end = after.get(after[p])
-            if end is not None and end - p <= LONGEST and (rank := known.get(p * 32 + end - p)) is not None:
+            if end is not None and end - p <= self.longest and (rank := known.get(p * self.place + end - p)) is not None:
                 heapq.heappush(waiting, (rank, p, end))
 
         for p in range(start, start + size - 1):

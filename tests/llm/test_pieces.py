@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 from pathlib import Path
 
 import pyarrow as pa
@@ -45,3 +47,28 @@ def test_frames(odd_docs, odd_rows, no_docs):
     assert len(rows) == len(odd_rows) and all(r.text == r.given for r in rows)
     assert P.encode(no_docs).count() == 0
     assert P.encode(odd_docs, ids="n").columns.count("n") == 1
+
+
+def test_runs_inside_one_text_change_nothing(model, monkeypatch):
+    monkeypatch.setattr(P, "RUN", 7)
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    texts = samples()
+    assert P.Encoder(model)(pa.array(texts, pa.string())).to_pylist() == [None if t is None else library.encode(t) for t in texts]
+
+
+def test_a_long_text_of_fresh_words_takes_little_memory(model):
+    code = """
+import random, resource, sys
+import pyarrow as pa
+from pathlib import Path
+from codestrata.llm import models, pieces as P
+rng = random.Random(2)
+text = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(660_000))
+encoder = P.Encoder(Path(models.MODEL).read_bytes())
+encoder(pa.array(["a"]))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert len(encoder(pa.array([text]))[0]) > 660_000
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    grown = subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True, cwd=Path(__file__).parents[2]).stdout
+    assert int(grown) < 400, grown
