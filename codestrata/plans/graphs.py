@@ -82,7 +82,7 @@ def line_imports(f: Facts) -> DataFrame:
     following = F.lead("line").over(Window.partitionBy("l_orderkey").orderBy("line"))
     inside = lines.withColumn("next", following).where("next is not null").select(node.alias("source"), F.concat(F.lit("o"), F.col("l_orderkey"), F.lit(".l"), F.col("next")).alias("target"))
     ends = lines.groupBy("l_orderkey").agg(F.min_by(node, "line").alias("first"), F.max_by(node, "line").alias("last"))
-    orders = ends.join(f.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "o_custkey", "o_orderstatus", "first", "last")
+    orders = cut_lineage(ends.join(f.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "o_custkey", "o_orderstatus", "first", "last"))
     back = orders.where("o_orderstatus = 'F'").select(F.col("last").alias("source"), F.col("first").alias("target"))
     after = orders.withColumn("next", F.lead("first").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
     ring = orders.where("o_custkey % 5 = 0").groupBy("o_custkey").agg(F.max_by("last", "o_orderkey").alias("source"), F.min_by("first", "o_orderkey").alias("target"))

@@ -104,3 +104,32 @@ def test_one_long_ring_is_one_round(spark):
     rounds = []
     got = graph.strong_components(spark.createDataFrame(edges, "source long, target long"), rounds).collect()
     assert {(r.node, r.component) for r in got} == {(k, 299) for k in range(300)} and len(rounds) == 1
+
+
+def test_rings_of_rings_are_contracted_without_colours(spark, monkeypatch):
+    """Eighty rings of orders, some orders rings of their own, in at most three rounds, and paths between rings belong to none."""
+    monkeypatch.setattr(graph, "_coloured", None)
+    rng, edges = random.Random(3), []
+    for ring in range(80):
+        orders = [[f"r{ring}.{k}.{line}" for line in range(rng.randrange(1, 6))] for k in range(rng.randrange(2, 8))]
+        edges += [pair for o in orders for pair in zip(o, o[1:])] + [(a[-1], b[0]) for a, b in zip(orders, orders[1:])]
+        edges += [(o[-1], o[0]) for o in orders if rng.random() < 0.5]
+        if ring % 2:
+            edges.append((orders[-1][-1], orders[0][0]))
+    rounds, got = [], {}
+    for r in graph.strong_components(spark.createDataFrame(edges, "source string, target string"), rounds).collect():
+        got.setdefault(r.component, set()).add(r.node)
+    assert {max(g): g for g in got.values()} == got
+    assert {frozenset(g) for g in got.values()} == _strong([e for e in edges if e[0] != e[1]])
+    assert len(rounds) <= 3
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_strong_components_of_sparse_graphs(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(75)] + [(100 + k, 100 + (k + 1) % 9) for k in range(9)] + [(108, 200), (200, 201), (201, 300), (300, 301), (301, 300)]
+    got = {}
+    for r in graph.strong_components(spark.createDataFrame(edges, "source long, target long")).collect():
+        got.setdefault(r.component, set()).add(r.node)
+    assert {max(g): g for g in got.values()} == got
+    assert {frozenset(g) for g in got.values()} == _strong([e for e in edges if e[0] != e[1]])
