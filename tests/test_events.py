@@ -142,3 +142,31 @@ def test_file_index_unites_all_sources(spark):
     mi = spark.createDataFrame([("b.py", 8.5, "C"), ("a.py", 50.0, "A")], "filepath string, mi double, rank string")
     got = {r.filepath: tuple(r)[1:] for r in relations.file_index(fns, mi, cls).collect()}
     assert got == {"a.py": (50.0, "A", 2, 7.5, 11, 1, 0), "b.py": (8.5, "C", 0, 0.0, 0, 0, 0), "c.py": (None, None, 0, 0.0, 0, 0, 1)}
+
+
+def test_merge_sorts_only_events_at_a_least_place(spark, monkeypatch):
+    """Of 20,000 events of ten ids the merge carries whole only those that supply fields or evidence."""
+    written = []
+    monkeypatch.setattr(events, "cut_lineage", lambda df: written.append(df) or df, raising=False)
+    kind = F.when(F.col("id") % 3 == 0, "radon").otherwise("cohesion")
+    rows = spark.range(20_000).select(
+        F.concat(F.lit("e"), F.col("id") % 10).alias("id"), F.lit("T").alias("type"), F.when(F.col("id") == 19_999, "error").otherwise("info").alias("severity"), F.lit("weak").alias("strength"),
+        F.struct(F.lit("x").alias("filepath")).alias("location"), F.struct("id").alias("metrics"), F.array(F.struct(kind.alias("source"), F.col("id").cast("string").alias("details"))).alias("evidence"),
+        F.struct((F.col("id") % 2).cast("int").alias("stream"), (F.col("id") - 10_000).alias("pos")).alias("seq"),
+    )
+    got = {r.id: r for r in events.merge_duplicates(rows).collect()}
+    assert len(written) == 2 and written[1].count() <= 200
+    assert "SortAggregate" not in written[0]._jdf.queryExecution().executedPlan().toString()
+    assert {k: [(e.source, int(e.details)) for e in r.evidence] for k, r in got.items()} == {
+        f"e{k}": sorted([("radon", min(n for n in range(k, 20_000, 10) if n % 3 == 0)), ("cohesion", min(n for n in range(k, 20_000, 10) if n % 3))], key=lambda x: x[1]) for k in range(10)
+    }
+    assert all(r.strength == "strong" and r.severity == ("error" if k == "e9" else "info") and r.metrics.id == int(k[1:]) for k, r in got.items())
+
+
+def test_merge_of_events_without_evidence_or_place(spark):
+    none = "cast(array() as array<struct<source:string,details:string>>)"
+    rows = spark.sql(f"""SELECT id, 'T' type, sev severity, 'weak' strength, struct('x' filepath) location, struct(m) metrics, ev evidence, struct(0 stream, cast(pos as bigint) pos) seq FROM VALUES
+      ('a', 'info', 1, {none}, 5), ('a', 'error', 2, array(struct('s' source, 'd' details)), 9), ('b', 'info', 3, {none}, 7), ('b', 'warning', 4, {none}, cast(null as int)), ('c', 'info', 5, {none}, -4), ('c', 'info', 6, {none}, 4)
+      AS t(id, sev, m, ev, pos)""")
+    got = {r.id: (r.severity, r.strength, r.metrics[0], [e.source for e in r.evidence]) for r in events.merge_duplicates(rows).collect()}
+    assert got == {"a": ("error", "weak", 1, ["s"]), "b": ("warning", "weak", 4, []), "c": ("info", "weak", 5, [])}
