@@ -13,12 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.numbers import round_binary
+from codestrata.session import cut_lineage
 
 
 def complexity_blocks(rows: DataFrame) -> DataFrame:
     """One row per function and method, in the shape of a complexity report, with its parameters."""
+    # Both sides of the join come from one reading of the sources.
+    rows = cut_lineage(rows.where("kind = 'branch' or kind = 'block' and form in ('function', 'method')"))
     ways = rows.where("kind = 'branch'").groupBy("path", "owner").agg(F.sum("num").alias("ways"))
-    blocks = rows.where("kind = 'block' and form in ('function', 'method')")
+    blocks = rows.where("kind = 'block'")
     cc = (F.lit(1) + F.coalesce("ways", F.lit(0))).cast("long")
     return blocks.join(ways, ["path", "owner"], "left").select(
         F.col("path").alias("filepath"), "name", F.col("form").alias("type"), cc.alias("complexity"), complexity_rank(cc).alias("rank"),

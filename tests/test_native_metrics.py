@@ -1,9 +1,14 @@
+import ast
 import math
 
+import pandas as pd
+import pytest
+
 from codestrata.config import ProjectConfig
 from codestrata.operators import native_metrics
 from codestrata.plans.report import Project, run
 from codestrata.session import cut_lineage
+from codestrata.sources import python_metrics, python_scopes
 from codestrata.sources.python_metrics import file_metrics, line_classes, metric_rows
 
 SOURCE = '''"""Doc
@@ -90,3 +95,24 @@ def test_project_without_reports(spark, tmp_path):
     assert found == {"app/deep.py::1::f": (13, 2), "app/deep.py::16::g": (1, 0)}
     assert report["files"].first().mi is not None and report["run"].first().parameters_used
     assert {(r.source, r.target) for r in report["call_edges"].collect()} == {("app.deep.g", "app.deep.f")}
+
+
+def test_sources_are_read_once_for_complexity(spark):
+    files = spark.createDataFrame([("a.py", "def f(x):\n    return x if x else 1\n")], "path string, source string")
+    blocks = native_metrics.complexity_blocks(python_metrics.metric_rows(files))
+    assert blocks._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") <= 1
+    assert [(r.name, r.complexity) for r in blocks.collect()] == [("f", 2)]
+
+
+@pytest.mark.parametrize("module", [python_metrics, python_scopes])
+def test_rows_of_many_files_go_out_in_small_batches(module, monkeypatch):
+    monkeypatch.setattr(module, "_ROWS_PER_BATCH", 100, raising=False)
+    files = pd.DataFrame([(f"m{k}.py", "def f(x):\n    return x + 1\n") for k in range(300)], columns=["path", "source"])
+    sizes = [len(frame) for frame in module._batches(iter([files, files]))]
+    assert max(sizes) < 130 and sum(sizes) == 2 * len(pd.concat(module._batches(iter([files]))))
+
+
+def test_operands_read_as_unparsed():
+    for text in ("a", "7", "True", "'x'", "-a", "a.b", "1.0", "f(x)", "...", "10 ** 400"):
+        node = ast.parse(text, mode="eval").body
+        assert python_metrics._written(node) == ast.unparse(node)
