@@ -1,10 +1,12 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from codestrata.operators import classfacts as cf
+from codestrata.sources import python_syntax
 from codestrata.sources.python_syntax import annotation_text, file_rows, skeleton_text
 
 
@@ -332,3 +334,21 @@ def test_deep_hierarchy(facts, levels):
     for r in cf.inherited_attributes(rows, cf.init_attributes(rows, methods)).collect():
         got.setdefault(names[r.cls], set()).add(r.attr)
     assert got == {f"C{k}": {f"a{j}" for j in range(k)} for k in range(1, levels)}
+
+
+def test_walk_leaves_names_and_signs_alone(monkeypatch):
+    """Only elements that have rows, or hold others that may, are looked at."""
+    seen = []
+    plain = python_syntax._Walk.visit_plain
+    monkeypatch.setattr(python_syntax._Walk, "visit_plain", lambda self, node, *rest: seen.append(type(node).__name__) or plain(self, node, *rest), raising=False)
+    rows = python_syntax.file_rows("a.py", "def f(x):\n    if x and not x + 1 > 2:\n        g(x, -1)\n    return x\n")
+    assert sorted(seen) == ["BoolOp", "Call", "If"] and [r[1] for r in rows] == ["function"]
+
+
+def test_rows_go_out_as_arrow_batches(monkeypatch):
+    monkeypatch.setattr(python_syntax, "_ROWS_PER_BATCH", 10)
+    files = pa.RecordBatch.from_pydict({"path": [f"m{k}.py" for k in range(9)], "source": ["class A:\n    def f(self): return 1\n"] * 8 + ["("]})
+    made = list(python_syntax._batches(iter([files])))
+    assert all(isinstance(b, pa.RecordBatch) for b in made) and len(made) > 1
+    rows = [tuple(r.values()) for b in made for r in b.to_pylist()]
+    assert rows == [r for p, s in zip(*files.to_pydict().values()) for r in python_syntax.file_rows(p, s)]
