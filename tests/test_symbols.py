@@ -61,3 +61,18 @@ def test_rows_of_one_file():
     assert file_scopes("a/b.py", "x = (")[0][1] == "error"
     rows = file_scopes("a/__init__.py", "from . import b\nfrom .c import d as e\nx, [y] = f()\nwith g() as h: pass\n")
     assert {(r[3], r[4], r[5]) for r in rows if r[1] == "bind"} == {("import", "b", "a.b"), ("import", "e", "a.c.d"), ("other", "x", None), ("other", "y", None), ("value", "h", "a")}
+
+
+def test_first_names_are_looked_up_in_their_file():
+    rows = file_scopes("a/b.py", "import os\nx = 1\nclass K:\n    x = 2\n    def m(self):\n        import os\n        def inner(): return os.path, x, len\n        return x\n")
+    near = {(r[2], r[4], r[5]) for r in rows if r[1] == "near"}
+    # A class body is not visible in its methods, the nearer import hides the outer one, and a builtin has no row.
+    assert near == {("a.b.K.m.inner", "os", "a.b.K.m"), ("a.b.K.m.inner", "x", "a.b"), ("a.b.K.m", "x", "a.b")}
+    assert {r[1] for r in rows} == {"scope", "bind", "use", "near"}
+
+
+def test_a_round_reads_the_steps_of_its_states_only(spark):
+    steps = spark.range(100_000).selectExpr("concat('m', id) as place", "'own' as form", "'f' as name")
+    asked = spark.createDataFrame([("m7", "f"), ("m99", "f"), ("m8", "g")], "place string, name string")
+    left = symbols._possible(steps, asked, ["place", "name"])
+    assert left.columns == steps.columns and {"m7", "m99"} <= {r.place for r in left.collect()} and left.count() < 100
