@@ -170,3 +170,13 @@ def test_merge_of_events_without_evidence_or_place(spark):
       AS t(id, sev, m, ev, pos)""")
     got = {r.id: (r.severity, r.strength, r.metrics[0], [e.source for e in r.evidence]) for r in events.merge_duplicates(rows).collect()}
     assert got == {"a": ("error", "weak", 1, ["s"]), "b": ("warning", "weak", 4, []), "c": ("info", "weak", 5, [])}
+
+
+def test_lone_events_pass_by_the_merge(spark, monkeypatch):
+    row = lambda k, seq: (f"e{k}", "LOW_MI_FILE", "error", "weak", None, None, [("radon", "{}")], (1, seq))
+    given = spark.createDataFrame([*[row(k, k) for k in range(300)], row(7, 900)], events.EVENT_SCHEMA)
+    met, whole = [], events.merge_duplicates
+    monkeypatch.setattr(events, "merge_duplicates", lambda e: met.append(e.count()) or whole(e))
+    out = events.merge_shared(given)
+    assert met[0] < 10 and out.count() == 300 and out.columns == given.columns
+    assert {r.severity for r in out.collect()} == {"error"}
