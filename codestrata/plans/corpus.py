@@ -92,9 +92,9 @@ def modules(f: Facts) -> DataFrame:
 class Corpus:
     """Syntax rows and the facts built on them; parsed once, written once, read by every step."""
 
-    def __init__(self, f: Facts):
+    def __init__(self, f: Facts, kinds: tuple[str, ...] | None = None):
         self.files = modules(f)
-        self.rows = stored_syntax_rows(self.files, spread=True)
+        self.rows = stored_syntax_rows(self.files, spread=True, kinds=kinds)
         self.methods = cf.method_facts(self.rows)
         self.classes = cf.class_facts(self.rows, self.methods)
         self.project = cf.project_classes(self.classes)
@@ -200,7 +200,7 @@ def _(f):
 
 @query("q_ancestors", "SELECT 'C' || k AS class_name, 'C' || a AS ancestor FROM up")
 def _(f):
-    c = Corpus(f)
+    c = Corpus(f, ("class", "base"))
     name = F.regexp_replace(F.regexp_extract("path", r"/c(\d+)\.py$", 1), "^", "C")
     above = F.regexp_replace(F.regexp_extract("found_path", r"/c(\d+)\.py$", 1), "^", "C")
     return cf.ancestors(c.rows).select(name.alias("class_name"), above.alias("ancestor"))

@@ -352,3 +352,13 @@ def test_rows_go_out_as_arrow_batches(monkeypatch):
     assert all(isinstance(b, pa.RecordBatch) for b in made) and len(made) > 1
     rows = [tuple(r.values()) for b in made for r in b.to_pylist()]
     assert rows == [r for p, s in zip(*files.to_pydict().values()) for r in python_syntax.file_rows(p, s)]
+
+
+def test_a_reader_of_few_kinds_gets_their_rows_only():
+    from codestrata.sources.python_syntax import file_rows
+
+    source = "import a\nclass A(B, x.C):\n    def f(self, y: int):\n        class D(A): pass\n        return [g(z) for z in y if z and z.w]\n"
+    plain = lambda rows: [(r[1], r[8], r[12], r[15]) for r in rows if r[1] in ("class", "base")]
+    few = file_rows("a.py", source, ("class", "base"))
+    assert plain(few) == plain(file_rows("a.py", source)) and {r[1] for r in few} == {"class", "base"}
+    assert [r[1] for r in file_rows("b.py", "def (", ("class",))] == ["error"]
