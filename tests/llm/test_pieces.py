@@ -72,3 +72,32 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
 """
     grown = subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True, cwd=Path(__file__).parents[2]).stdout
     assert int(grown) < 400, grown
+
+
+def test_bytes_that_are_no_text_decode_row_by_row(model):
+    decoder, library = P.Decoder(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    byte = {int(library.id_to_piece(i)[1:-1], 16): i for i in range(library.vocab_size()) if library.is_byte(i)}
+    snow = "☃".encode()
+    rows = [[], None, library.encode("é ☃ x"), [byte[snow[0]]], [byte[b] for b in snow[1:]], [byte[0x20]], library.encode(" two"), [byte[0xFF], *library.encode("a")]]
+    want = [None if r is None else b"".join(decoder_bytes(library, i) for i in r).decode("utf-8", "replace").removeprefix(" ") for r in rows]
+    for some in (rows, rows[:3], rows[5:7], rows[3:5], []):
+        got = decoder(pa.array(some, pa.list_(pa.int32())))
+        got.validate(full=True)
+        assert got.to_pylist() == [w for r, w in zip(rows, want) if any(r is s for s in some)]
+
+
+def decoder_bytes(library, i):
+    name = library.id_to_piece(i)
+    return bytes([int(name[1:-1], 16)]) if library.is_byte(i) else name.replace("▁", " ").encode()
+
+
+def test_units_are_indexed_by_what_is_new(model, monkeypatch):
+    """Texts of three runs' length with few different words are one index, and ids are joined by row groups."""
+    sizes, learn = [], P.Encoder._learn
+    monkeypatch.setattr(P.Encoder, "_learn", lambda self, new: sizes.append(len(new)) or learn(self, new))
+    encoder = P.Encoder(model)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=100)) for _ in range(2500)]
+    ids = encoder(pa.array(texts))
+    assert sum(map(len, texts)) > 2 * P.RUN and len(sizes) == 1, sizes
+    assert P.Decoder(model)(ids).to_pylist() == texts
