@@ -28,6 +28,16 @@ _ADVICE = {
 }
 
 
+# Kinds of syntax rows that the facts below every rule read, and those of one rule. None of them reads a text.
+_FACT_KINDS = ("class", "base", "class_decorator", "class_body", "class_attr", "alias", "method", "decorator", "body", "call")
+_RULE_KINDS = {"LSP-H-001": "raise", "LSP-H-003": "arg", "OCP-H-001": "if", "OCP-H-002": "type_case", "OCP-H-004": "branch"}
+
+
+def kinds(*rules: str) -> tuple[str, ...]:
+    """The kinds of syntax rows that ``findings`` of these rules come from."""
+    return (*_FACT_KINDS, *(_RULE_KINDS[r] for r in rules if r in _RULE_KINDS))
+
+
 def scope(project: DataFrame, patterns: tuple[str, ...] | None = None, keep_dynamic: bool = False) -> DataFrame:
     """Project classes the rules look at: right path, known parents, a role that holds behaviour."""
     kept = project.where(~is_excluded_path(F.col("path"), patterns))

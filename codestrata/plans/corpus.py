@@ -29,8 +29,8 @@ def _line(*parts, when=None):
     return F.array(text if when is None else F.when(when, text))
 
 
-def modules(f: Facts) -> DataFrame:
-    """``(path, source)``: one module per part."""
+def modules(f: Facts, spread: bool = False) -> DataFrame:
+    """``(path, source)``: one module per part. With ``spread`` the parts are dealt out before sources are written from them."""
     k, s, kind = F.col("p_partkey"), F.col("p_size"), F.col("p_type")
     q = F.floor(k / 8)
     odd_brand = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
@@ -86,15 +86,18 @@ def modules(f: Facts) -> DataFrame:
     for name, text in (("STANDARD", standard), ("LARGE", large), ("MEDIUM", medium), ("SMALL", small), ("ECONOMY", economy), ("PROMO", promo)):
         source = F.when(is_[name], text).otherwise(source)
     folder = F.when(F.col("p_brand") == "Brand#25", "tests/").otherwise("src/")
-    return f.table("part").select(F.concat(folder, F.lower(kind), F.lit("/c"), k, F.lit(".py")).alias("path"), source.alias("source"))
+    part = f.table("part")
+    if spread:
+        part = part.repartition(f.spark.sparkContext.defaultParallelism * 2, "p_partkey")
+    return part.select(F.concat(folder, F.lower(kind), F.lit("/c"), k, F.lit(".py")).alias("path"), source.alias("source"))
 
 
 class Corpus:
     """Syntax rows and the facts built on them; parsed once, written once, read by every step."""
 
-    def __init__(self, f: Facts, kinds: tuple[str, ...] | None = None):
-        self.files = modules(f)
-        self.rows = stored_syntax_rows(self.files, spread=True, kinds=kinds)
+    def __init__(self, f: Facts, kinds: tuple[str, ...] | None = None, texts: bool = True):
+        self.files = modules(f, spread=True)
+        self.rows = stored_syntax_rows(self.files, kinds=kinds, texts=texts)
         self.methods = cf.method_facts(self.rows)
         self.classes = cf.class_facts(self.rows, self.methods)
         self.project = cf.project_classes(self.classes)
@@ -238,12 +241,16 @@ def _(f):
     return cf.interface_links(Corpus(f).project)
 
 
+def _ruled(f: Facts, *rules: str) -> Corpus:
+    return Corpus(f, h.kinds(*(rules or h.RULE_ORDER)), texts=False).settle()
+
+
 def _rule(name: str):
     code = name[-9:].upper().replace("_", "-")
 
     @query(name, f"SELECT path, class_name, method_name, rule FROM fnd WHERE rule = '{code}'")
     def _(f):
-        return Corpus(f).settle().findings().where(F.col("rule") == code).select("path", "class_name", "method_name", "rule")
+        return _ruled(f, code).findings().where(F.col("rule") == code).select("path", "class_name", "method_name", "rule")
 
 
 for _name in ("lsp_h_001", "lsp_h_002", "lsp_h_003", "lsp_h_004", "ocp_h_001", "ocp_h_002", "ocp_h_004"):
@@ -255,7 +262,7 @@ part("fm", """SELECT path, class_name, method_name, list(rule ORDER BY CASE rule
 
 @query("q_finding_dedup", """SELECT path, class_name, method_name, rules[1] AS rule, CASE WHEN len(rules) > 1 THEN 'Also detected: ' || array_to_string(list_sort(rules[2:]), ', ') || '.' ELSE '' END AS note FROM fm""")
 def _(f):
-    return h.merge_findings(Corpus(f).settle().findings()).select(
+    return h.merge_findings(_ruled(f).findings()).select(
         "path", "class_name", "method_name", "rule", F.regexp_extract("explanation", r"(Also detected: .*)$", 1).alias("note")
     )
 
@@ -270,7 +277,7 @@ part("cand", """SELECT *, CASE WHEN o AND l THEN 'both' WHEN l THEN 'lsp' WHEN o
 
 @query("q_identify_candidates", "SELECT path, class_name, candidate_type, priority, n::INT AS reasons FROM cand")
 def _(f):
-    c = Corpus(f).settle()
+    c = _ruled(f)
     return h.candidates(c.project, c.findings()).select("path", "class_name", "candidate_type", "priority", F.size("reasons").alias("reasons"))
 
 

@@ -362,3 +362,22 @@ def test_a_reader_of_few_kinds_gets_their_rows_only():
     few = file_rows("a.py", source, ("class", "base"))
     assert plain(few) == plain(file_rows("a.py", source)) and {r[1] for r in few} == {"class", "base"}
     assert [r[1] for r in file_rows("b.py", "def (", ("class",))] == ["error"]
+
+
+def test_rules_read_their_kinds_alone(spark, sf_dir="/root/testdata/sf0.001"):
+    """A rule gives the same findings from its own kinds without texts, and sources are written from parts in many tasks."""
+    from codestrata.operators import heuristics as h
+    from codestrata.plans import corpus
+    from codestrata.plans.tables import Facts
+
+    facts = Facts(spark, sf_dir)
+    assert corpus.modules(facts, spread=True).rdd.getNumPartitions() > 1
+    whole = corpus.Corpus(facts)
+    assert sorted(corpus.Corpus(facts, h.kinds("OCP-H-004"), texts=False).rows.select("kind").distinct().toPandas()["kind"]) == sorted(
+        r.kind for r in whole.rows.select("kind").distinct().collect() if r.kind in h.kinds("OCP-H-004")
+    )
+    every = {tuple(r) for r in whole.findings().select("path", "class_name", "method_name", "rule", "message").collect()}
+    assert every
+    for rule in h.RULE_ORDER:
+        own = corpus._ruled(facts, rule).findings().where(f"rule = '{rule}'").select("path", "class_name", "method_name", "rule", "message")
+        assert {tuple(r) for r in own.collect()} == {r for r in every if r[3] == rule}
