@@ -56,3 +56,16 @@ def test_many_tasks_read_one_file(spark, tmp_path):
     (tmp_path / "x").write_bytes(np.arange(4000, dtype="<u2").tobytes())
     scanned = token_files.blocks(spark.createDataFrame([(f"file://{tmp_path}/x",)], "path string"), separator=0, size=64)
     assert scanned.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_no_join_collects_rows_on_the_driver(spark, odd_docs, monkeypatch):
+    plans = []
+
+    def seen(self, df, then):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return then(self, df)
+
+    for name in ("keep", "result"):
+        monkeypatch.setattr(Scratch, name, lambda self, df, then=getattr(Scratch, name): seen(self, df, then))
+    assert token_files.counts(odd_docs).count() == odd_docs.count()
+    assert any("SortMergeJoin" in plan for plan in plans) and not any("Broadcast" in plan for plan in plans)
